@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +26,18 @@ CASEFOLD_EXTRA = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: What makes a text differ from its squeezed form: a cheap test before the replacement.
+UNTIDY = "^ | $|  |[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
 def squeeze(c: Column) -> Column:
-    """Trim and collapse Unicode white space to single spaces."""
-    return F.btrim(F.regexp_replace(c, UNICODE_SPACE + "+", " "))
+    """Trim and collapse Unicode white space to single spaces. Cheapest on a plain column."""
+    return F.when(c.rlike(UNTIDY), F.btrim(F.regexp_replace(c, UNICODE_SPACE + "+", " "))).otherwise(c)
 
 
 def casefold(c: Column) -> Column:
@@ -34,11 +45,10 @@ def casefold(c: Column) -> Column:
     out = F.lower(c)
     single = {k: v for k, v in CASEFOLD_EXTRA.items() if len(v) == 1}
     out = F.translate(out, "".join(single), "".join(single.values()))
-    special = [k for k in CASEFOLD_EXTRA if k not in single]
-    folded = out
-    for k in special:
-        folded = F.replace(folded, F.lit(k), F.lit(CASEFOLD_EXTRA[k]))
-    return F.when(out.rlike("[" + "".join(special) + "]"), folded).otherwise(out)
+    for k, v in CASEFOLD_EXTRA.items():
+        if k not in single:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    return out
 
 
 def name_key(c: Column) -> Column:
@@ -46,13 +56,13 @@ def name_key(c: Column) -> Column:
 
     Null gives the empty key.
     """
-    return F.coalesce(squeeze(casefold(F.translate(c, INVISIBLE, ""))), F.lit(""))
+    tidy = F.when(c.rlike(UNTIDY), F.btrim(F.regexp_replace(F.translate(c, INVISIBLE, ""), UNICODE_SPACE + "+", " "))).otherwise(c)
+    return F.coalesce(casefold(tidy), F.lit(""))
 
 
 def clean_text(c: Column, tokens: list[str] | None = None) -> Column:
     """Trimmed, space-collapsed text; null tokens (any case) become null."""
-    s = squeeze(c)
-    return F.when(~F.lower(s).isin(NULL_TOKENS if tokens is None else tokens), s)
+    return let(squeeze(c), lambda s: F.when(~F.lower(s).isin(NULL_TOKENS if tokens is None else tokens), s))
 
 
 def field_name(c: Column) -> Column:
@@ -77,8 +87,7 @@ def denoised_name(c: Column, keep_digits: bool = False, noise: list[str] | None
 
 def to_bool(c: Column) -> Column:
     """Three-valued truth of a text; unknown spellings are null."""
-    s = F.lower(squeeze(c))
-    return F.when(s.isin(TRUTHY), F.lit(True)).when(s.isin(FALSY), F.lit(False))
+    return let(F.lower(squeeze(c)), lambda s: F.when(s.isin(TRUTHY), F.lit(True)).when(s.isin(FALSY), F.lit(False)))
 
 
 def to_number(c: Column) -> Column:
