@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.names import clean_text, name_key
+from ledgerloom.functions.names import NULL_TOKENS, name_key, squeeze
 from ledgerloom.llm.runs_of_events import collapse_runs
 from ledgerloom.operators import instants
 from ledgerloom.plans.tables import table
@@ -22,14 +22,14 @@ def executions(spark: SparkSession, d: str) -> DataFrame:
     """
     runs = table(spark, d, "runs").select("run_row_id", "execution_ref", "t2_report_name", "t2_requested_id", "site_code", "t2_start_date", "loaded_at")
     zones = instants.complete_zones(table(spark, d, "site_zones"), runs.select("site_code", F.col("t2_start_date").alias("text"), "loaded_at"), text="text")
-    key = name_key(clean_text(F.col("t2_report_name")))
-    timed = instants.with_utc(runs, zones, "t2_start_date", out="at").select(
-        "run_row_id", "execution_ref", clean_text(F.col("t2_requested_id")).alias("who"), F.when(key != "", key).alias("k"), "at"
-    )
-    slim = timed.select("run_row_id", "execution_ref", F.struct("run_row_id", "who", F.xxhash64("k").alias("k1"), F.when(F.col("k").isNotNull(), F.xxhash64(F.lit(1), "k")).alias("k2"), "at").alias("r"))
-    first = slim.where("execution_ref is not null").groupBy("execution_ref").agg(F.min("r").alias("r")).select("r.*")
-    alone = slim.where("execution_ref is null").select("r.*")
-    return first.unionByName(alone)
+    ref = F.coalesce("execution_ref", F.concat(F.lit("row "), "run_row_id"))
+    named = runs.select("run_row_id", ref.alias("ref"), "site_code", "t2_start_date", squeeze(F.col("t2_requested_id")).alias("who"), name_key(F.col("t2_report_name")).alias("k"))
+    timed = instants.with_utc(named, zones, "t2_start_date", out="at")
+    k = F.col("k")
+    named_well = ~k.isin(NULL_TOKENS)
+    who = F.when(~F.lower("who").isin(NULL_TOKENS), F.col("who"))
+    slim = timed.select("ref", F.struct("run_row_id", who.alias("who"), F.when(named_well, F.xxhash64(k)).alias("k1"), F.when(named_well, F.xxhash64(F.lit(1), k)).alias("k2"), "at").alias("r"))
+    return slim.repartition("ref").groupBy("ref").agg(F.min("r").alias("r")).select("r.*")
 
 
 def p5_runs(spark: SparkSession, d: str) -> DataFrame:

@@ -23,8 +23,11 @@ def linked_events(events: DataFrame, sequence: list[str], micros: str, tie: str,
     """
     block = max(1, max_gap + 1) * blocks_of
     halo = 2 * (max_gap + 1)
-    home = F.floor(F.col(micros) / F.lit(block)).cast("long")
-    spill = F.floor((F.col(micros) + F.lit(halo)) / F.lit(block)).cast("long")
+
+    def block_of(at: Column) -> Column:
+        return ((at - F.pmod(at, F.lit(block))) / F.lit(block)).cast("long")
+
+    home, spill = block_of(F.col(micros)), block_of(F.col(micros) + F.lit(halo))
     tagged = events.select(
         *[F.col(c).alias(f"q{i}") for i, c in enumerate(sequence)],
         F.col(micros).alias("at"), F.col(tie).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(same)],
