@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import q_sequences
+from ledgerloom.llm import q_groups, q_sequences
 
-QUERIES = dict(q_sequences.QUERIES)
+QUERIES = q_groups.QUERIES | q_sequences.QUERIES
 ORACLES: dict[str, str] = {}
