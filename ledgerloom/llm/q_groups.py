@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.names import TRUTHY, field_set, squeeze
 from ledgerloom.llm.match_groups import match_groups
 from ledgerloom.llm.related_splits import SplitStore, split_pairs
-from ledgerloom.plans.tables import table
+from ledgerloom.llm.survivors import keepers, survivors
+from ledgerloom.plans.tables import current_reports, table
 from ledgerloom.storage import Workspace
 
 #: Pairs reviewed before this day are the first load of the split store, the others its next batch.
@@ -54,4 +56,45 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_groups(spark, d).select("report_uid", F.col("dup_group_id").alias("group_uid"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_groups": p4_groups}
+_KEEPER_COLUMNS = ["report_uid", "dup_group_id", "overall_score", "total_risk_score", "effective_last_run_date", "last_run_date", "recurrence_classification", "distinct_requesters", "field_extraction_status", "report_fields", "areas_used", "shared", "last_updated"]
+
+
+def _ranked_reports(spark: SparkSession, d: str, extra: list[str]) -> DataFrame:
+    """Current reports in a duplicate group with the keys of the keeper order, each smaller for better."""
+    now = current_reports(table(spark, d, "reports"), [*_KEEPER_COLUMNS, *extra])
+    g = F.upper(squeeze(F.col("dup_group_id")))
+    rank = {"Strong": 0, "Moderate": 1, "No Recurring Pattern": 2}
+    recurrence = F.coalesce(*[F.when(F.col("recurrence_classification") == k, F.lit(v)) for k, v in rank.items()], F.lit(3))
+    areas = F.filter(F.transform(F.split(F.coalesce("areas_used", F.lit("")), "[,;|\n\r]+"), lambda x: F.lower(squeeze(x))), lambda x: x != "")
+    late = lambda c: -F.coalesce(F.unix_micros(c.cast("timestamp")), F.lit(-(2**62)))
+    return now.where(g.isNotNull() & (g != "")).select(
+        "report_uid", *extra, *[c for c in ("report_fields", "areas_used", "shared", "last_updated", "last_run_date", "effective_last_run_date", "recurrence_classification", "overall_score") if c not in extra],
+        g.alias("gid"),
+        F.coalesce(F.coalesce("overall_score", "total_risk_score").cast("double"), F.lit(float("inf"))).alias("o1"),
+        late(F.coalesce("effective_last_run_date", "last_run_date")).alias("o2"),
+        recurrence.alias("o3"),
+        (-F.coalesce("distinct_requesters", F.lit(0))).alias("o4"),
+        F.when(F.col("field_extraction_status") == "Matched", -F.size(field_set(F.col("report_fields")))).otherwise(F.lit(0)).alias("o5"),
+        (-F.size(F.array_distinct(areas))).alias("o6"),
+        F.when(F.lower(squeeze(F.col("shared"))).isin(TRUTHY), F.lit(0)).otherwise(F.lit(1)).alias("o7"),
+        late(F.col("last_updated")).alias("o8"),
+    )
+
+
+_ORDER = [f"o{i}" for i in range(1, 9)]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    out = keepers(_ranked_reports(spark, d, []), "gid", "report_uid", [F.col(c) for c in _ORDER])
+    return out.select(F.col("gid").alias("dup_group_id"), F.col("report_uid").alias("keeper_uid"))
+
+
+def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
+    extra = ["report_name", "owner", "description", "category", "data_source"]
+    ranked = _ranked_reports(spark, d, extra)
+    fields = [*extra, "report_fields", "areas_used", "shared", "last_updated", "effective_last_run_date", "recurrence_classification"]
+    out = survivors(ranked, "gid", "report_uid", F.struct(*_ORDER, "report_uid"), fields)
+    return out.withColumnRenamed("gid", "dup_group_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_survivors": p6_survivors}

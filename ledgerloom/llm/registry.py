@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import q_groups, q_sequences
+from ledgerloom.llm import q_groups, q_sequences, q_sets
 
-QUERIES = q_groups.QUERIES | q_sequences.QUERIES
+QUERIES = q_groups.QUERIES | q_sequences.QUERIES | q_sets.QUERIES
 ORACLES: dict[str, str] = {}
