@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import core_data
+from ledgerloom.plans import core_data, portfolio
 
-QUERIES = dict(core_data.QUERIES)
-ORACLES: dict[str, str] = {}
+QUERIES = core_data.QUERIES | portfolio.QUERIES
+ORACLES: dict[str, str] = dict(portfolio.ORACLES)
