@@ -318,3 +318,26 @@ def run_recurrence(s: SparkSession, d: str) -> DataFrame:
     zones = instants.complete_zones(table(s, d, "site_zones"), runs.select("site_code", F.col("t2_start_date").alias("text"), "loaded_at"), text="text")
     timed = instants.with_utc(runs, zones, "t2_start_date", out="at").select("name_key", "at")
     return bursts.recurrence(bursts.burst_starts(timed, "name_key", "at", 1_800_000_000), "name_key", "at")
+
+
+@query()
+def pair_scores(s: SparkSession, d: str) -> DataFrame:
+    """Probability of every labelled pair under a small neural model that was fitted on a bounded sample."""
+    from ledgerloom.operators import pair_model
+
+    names = ["f_jaccard", "f_jaccard_missing", "f_name", "f_name_missing"]
+    x = feature_vectors(s, d).join(scored_labels(s, d).select("pair_id", "y"), "pair_id")
+    model = pair_model.fit_sample(x, names, "y", "pair_id")
+    return x.select("pair_id", F.round(pair_model.score(model, *names), 6).alias("probability"))
+
+
+@query()
+def daily_runs(s: SparkSession, d: str) -> DataFrame:
+    """Events per user and day by the streaming rollup, here over the whole table."""
+    from ledgerloom.streaming.rollup import run_counts
+
+    e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return run_counts(e, "user_id", "ts")
+
+
+ORACLES["daily_runs"] = "SELECT user_id, date_trunc('day', ts) AS window_start, count(*) AS run_count, max(ts) AS last_run FROM events GROUP BY ALL"
