@@ -47,9 +47,9 @@ def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFr
 
 
 def best_threshold(df: DataFrame, score: str, label: str, floor: float) -> DataFrame:
-    """The threshold of highest F1 among those that reach a precision; ties go to the higher threshold."""
+    """The threshold of highest F1 among those that reach a precision; ties go to the higher threshold, none gives no row."""
     c = score_counts(df, score, label)
     total = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).agg(F.sum(label)).first()[0] or 0
     scored = c.select("s", (F.col("cum_pos") / F.col("cum_n")).alias("precision"), (2 * F.col("cum_pos") / (F.col("cum_n") + F.lit(total))).alias("f1"))
     best = scored.agg(F.max(F.when(F.col("precision") >= floor, F.struct("f1", "s", "precision"))).alias("b"))
-    return best.select(F.col("b.s").alias("threshold"), F.round("b.f1", 6).alias("f1"), F.round("b.precision", 6).alias("precision"))
+    return best.where("b is not null").select(F.col("b.s").alias("threshold"), F.round("b.f1", 6).alias("f1"), F.round("b.precision", 6).alias("precision"))
