@@ -9,6 +9,7 @@ from ledgerloom.functions.names import TRUTHY, field_set, squeeze
 from ledgerloom.llm.match_groups import match_groups
 from ledgerloom.llm.related_splits import SplitStore, split_pairs
 from ledgerloom.llm.survivors import keepers, survivors
+from ledgerloom.plans import sql
 from ledgerloom.plans.tables import current_reports, table
 from ledgerloom.storage import Workspace
 
@@ -98,3 +99,22 @@ def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_survivors": p6_survivors}
+
+_UID = "CAST(CASE WHEN x{0} = floor(x{0}) THEN x{0} END AS BIGINT)"
+_PAIRS = (
+    "(SELECT pair_id, " + _UID.format("a") + " AS a, " + _UID.format("b") + " AS b FROM (SELECT pair_id, "
+    "try_cast(regexp_replace(report_uid_a, '[\\s\\x{a0}'',]', '', 'g') AS DECIMAL(38,6)) AS xa, try_cast(regexp_replace(report_uid_b, '[\\s\\x{a0}'',]', '', 'g') AS DECIMAL(38,6)) AS xb FROM labeled_pairs))"
+)
+_MATCHED = """(SELECT a, b FROM (SELECT least(report_uid_a, report_uid_b) AS a, greatest(report_uid_a, report_uid_b) AS b, potential_duplicate, row_number() OVER (PARTITION BY least(report_uid_a, report_uid_b), greatest(report_uid_a, report_uid_b) ORDER BY scored_at DESC, match_id DESC) AS rn
+  FROM report_matches WHERE report_uid_a IS NOT NULL AND report_uid_b IS NOT NULL AND report_uid_a <> report_uid_b) WHERE rn = 1 AND potential_duplicate = 1)"""
+_REACH = "r AS (SELECT DISTINCT u AS node, u AS c FROM e UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.node WHERE r.c < e.v), g AS (SELECT node, min(c) AS c FROM r GROUP BY node)"
+_AREAS = r"len(list_distinct(list_filter(list_transform(regexp_split_to_array(coalesce(areas_used, ''), '[,;|\n\r]+'), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))), lambda y: y <> '')))"
+
+ORACLES = {
+    "p1_found": f"WITH RECURSIVE p AS {_PAIRS}, e AS (SELECT a AS u, b AS v FROM p WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM p WHERE a IS NOT NULL AND b IS NOT NULL), {_REACH} SELECT pair_id, g.c AS group_uid FROM p JOIN g ON p.a = g.node WHERE p.b IS NOT NULL",
+    "p4_found": f"WITH RECURSIVE p AS {_MATCHED}, e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), {_REACH} SELECT node AS report_uid, c AS group_uid FROM g",
+    "p4_groups": f"WITH RECURSIVE p AS {_MATCHED}, e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), {_REACH} SELECT node AS report_uid, c AS dup_group_id, count(*) OVER (PARTITION BY c) AS member_count FROM g",
+    "p6_found": f"""SELECT gid AS dup_group_id, report_uid AS keeper_uid FROM (SELECT *, count(*) OVER (PARTITION BY gid) AS n, row_number() OVER (PARTITION BY gid ORDER BY coalesce(overall_score, total_risk_score) NULLS LAST, coalesce(effective_last_run_date, last_run_date) DESC NULLS LAST,
+      CASE recurrence_classification WHEN 'Strong' THEN 0 WHEN 'Moderate' THEN 1 WHEN 'No Recurring Pattern' THEN 2 ELSE 3 END, coalesce(distinct_requesters, 0) DESC, CASE WHEN field_extraction_status = 'Matched' THEN len({sql.field_list('report_fields')}) ELSE 0 END DESC, {_AREAS} DESC,
+      CASE WHEN lower(trim(shared)) IN ('yes','y','true','1','t') THEN 0 ELSE 1 END, last_updated DESC NULLS LAST, report_uid) AS k FROM (SELECT *, upper(trim(dup_group_id)) AS gid FROM {sql.CURRENT}) WHERE gid <> '') WHERE n > 1 AND k = 1""",
+}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import field_set
 from ledgerloom.llm.set_similarity import record_pairs, similar_sets
+from ledgerloom.plans import sql
 from ledgerloom.plans.tables import current_reports, table
 
 THRESHOLD = (3, 4)
@@ -34,3 +35,8 @@ def p2_best(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_best": p2_best}
+
+_PAIRS = f"""r AS (SELECT report_uid AS u, {sql.field_list('report_fields')} AS f FROM {sql.CURRENT}), i AS (SELECT u, len(f) AS n, unnest(f) AS k FROM r),
+  p AS (SELECT x.u AS a, y.u AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS s FROM i x JOIN i y ON x.k = y.k AND x.u < y.u GROUP BY 1, 2 HAVING 4 * count(*) >= 3 * (any_value(x.n) + any_value(y.n) - count(*)))"""
+
+ORACLES = {"p2_found": f"WITH {_PAIRS} SELECT a AS report_uid_a, b AS report_uid_b FROM p"}
