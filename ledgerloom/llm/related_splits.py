@@ -24,31 +24,30 @@ def plan_by_size(sizes: list[tuple[int, int]], proportions: dict[str, float], ha
     """(size, split, first rank, end rank): components of each size dealt to the splits, largest first.
 
     ``sizes`` is a histogram (size, components): its length is at most the square root of twice the
-    records. Each component goes to the split that then lacks most; a whole class is dealt at once by
-    pouring it into the largest deficits until it is used up.
+    records. A class is dealt at once.
     """
     total = sum(s * n for s, n in sizes) + sum(have.values())
     lack = {k: p * total - have.get(k, 0) for k, p in proportions.items()}
     out: list[tuple[int, str, int, int]] = []
     for size, n in sorted(sizes, reverse=True):
-        left, shares = n, {}
-        while left:
-            order = sorted(lack, key=lambda k: (-lack[k], k))
-            first, second = order[0], order[1] if len(order) > 1 else order[0]
-            gap = lack[first] - lack[second]
-            take = left if len(order) == 1 else min(left, max(1, int(gap // size)))
-            shares[first] = shares.get(first, 0) + take
-            lack[first] -= take * size
-            left -= take
-            if gap < size and left > 3 * len(order):  # level: deal the rest evenly by proportion
-                each = {k: int(left * p) for k, p in proportions.items()}
-                for k, c in each.items():
-                    shares[k] = shares.get(k, 0) + c
-                    lack[k] -= c * size
-                left -= sum(each.values())
+        # pour the class into the deficits down to one common level, then deal the few left over singly
+        order = sorted(lack, key=lambda k: (-lack[k], k))
+        level, need = -float("inf"), n * size
+        for i in range(1, len(order) + 1):
+            level = (sum(lack[k] for k in order[:i]) - need) / i
+            if i == len(order) or level >= lack[order[i]]:
+                break
+        shares = {k: min(n, max(0, int((lack[k] - level) // size))) for k in order}
+        for k in shares:
+            lack[k] -= shares[k] * size
+        for _ in range(n - sum(shares.values())):
+            k = min(order, key=lambda x: (-lack[x], x))
+            shares[k] += 1
+            lack[k] -= size
         at = 0
         for k in sorted(shares):
-            out.append((size, k, at, at + shares[k]))
+            if shares[k]:
+                out.append((size, k, at, at + shares[k]))
             at += shares[k]
     return out
 
