@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ledgerloom.functions import instants as _inst
+from ledgerloom.storage import spread
 
 
 @pandas_udf(T.LongType())
@@ -87,5 +88,5 @@ def with_utc(df: DataFrame, site_zones: DataFrame, text: str, site: str = "site_
     allows. Rows are never lost; the result is null where the text is no real instant.
     """
     z = site_zones.select(F.col("site_code").alias("_site"), F.col("zone_name").alias("_zone"), F.col("date_order").alias("_order")).dropDuplicates(["_site"])
-    joined = df.join(z, df[site] == z["_site"], "left")
+    joined = spread(df).join(z, df[site] == z["_site"], "left")
     return joined.withColumn(out, _utc_micros(F.col(text), F.col("_zone"), F.col("_order"))).drop("_site", "_zone", "_order")

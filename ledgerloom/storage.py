@@ -72,3 +72,12 @@ class Workspace:
             path = self._paths.pop(id(df), None)
             if path:
                 _delete(self.spark, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for steps in Python.
+
+    Tables of many files come back as they are, without a shuffle; a table of one small file is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
