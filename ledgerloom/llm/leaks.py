@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.words import words
-from ledgerloom.storage import Workspace
+from ledgerloom.storage import Workspace, spread
 
 MAX_BLOCK_WORDS = 200_000
 
@@ -63,7 +63,7 @@ def postings(ws: Workspace, docs: DataFrame, doc_id: str, text: str, vocabulary:
                 yield pd.DataFrame({"term": np.concatenate(terms), "doc_id": np.concatenate(ids), "pos": np.concatenate(places)})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
-    index = rows.mapInPandas(run, _POSTING)
+    index = spread(rows).mapInPandas(run, _POSTING)
     return ws.write(index.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos"), "index")
 
 

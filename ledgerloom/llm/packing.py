@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.ranks import ranked_within
-from ledgerloom.storage import Workspace
+from ledgerloom.storage import Workspace, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that belongs to the byte-level vocabulary.
@@ -49,7 +49,7 @@ def token_counts(docs: DataFrame, text: str, path: str = TOKENIZER, out: str = "
         enc = _encoding(path)
         return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in s.tolist()], dtype="int64")
 
-    return docs.withColumn(out, count(F.col(text)))
+    return spread(docs).withColumn(out, count(F.col(text)))
 
 
 def plan(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

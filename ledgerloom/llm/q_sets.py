@@ -39,4 +39,9 @@ QUERIES = {"p2_found": p2_found, "p2_best": p2_best}
 _PAIRS = f"""r AS (SELECT report_uid AS u, {sql.field_list('report_fields')} AS f FROM {sql.CURRENT}), i AS (SELECT u, len(f) AS n, unnest(f) AS k FROM r),
   p AS (SELECT x.u AS a, y.u AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS s FROM i x JOIN i y ON x.k = y.k AND x.u < y.u GROUP BY 1, 2 HAVING 4 * count(*) >= 3 * (any_value(x.n) + any_value(y.n) - count(*)))"""
 
-ORACLES = {"p2_found": f"WITH {_PAIRS} SELECT a AS report_uid_a, b AS report_uid_b FROM p"}
+_BEST = f"""WITH {_PAIRS}, c AS (SELECT u, f, min(u) OVER (PARTITION BY f) AS cls, count(*) OVER (PARTITION BY f) AS n_equal FROM r WHERE len(f) > 0),
+  l AS (SELECT a AS cls, s FROM p WHERE a IN (SELECT cls FROM c) AND b IN (SELECT cls FROM c) AND s < 1 UNION ALL SELECT b, s FROM p WHERE a IN (SELECT cls FROM c) AND b IN (SELECT cls FROM c) AND s < 1),
+  n AS (SELECT cls, count(*) AS n_classes, max(s) AS best FROM l GROUP BY cls)
+  SELECT u AS report_uid, c.cls AS class_uid, n_equal, coalesce(n_classes, 0) AS n_classes, round(100 * CASE WHEN n_equal > 1 THEN 1.0 ELSE best END, 4) AS field_jaccard_similarity FROM c LEFT JOIN n ON c.cls = n.cls"""
+
+ORACLES = {"p2_best": _BEST, "p2_found": f"WITH {_PAIRS} SELECT a AS report_uid_a, b AS report_uid_b FROM p"}
