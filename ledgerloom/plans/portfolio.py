@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import rules
+from ledgerloom.functions import evidence, rules
 from ledgerloom.functions.names import clean_text, denoised_name, field_set, name_key, squeeze, to_bool, to_number
 from ledgerloom.functions.similarity import name_ratio, strong_name_match
 from ledgerloom.operators import blocking, bursts, instants, metrics, ordering, rollups
 from ledgerloom.operators.components import components
 from ledgerloom.plans import sql
 from ledgerloom.plans.tables import current_reports, table
+from ledgerloom.sources.labels import checked_pairs, repeated_pairs
 
 #: The day that ages are counted to.
 AS_OF = "2026-06-06 00:00:00"
@@ -320,6 +321,51 @@ def run_recurrence(s: SparkSession, d: str) -> DataFrame:
     return bursts.recurrence(bursts.burst_starts(timed, "name_key", "at", 1_800_000_000), "name_key", "at")
 
 
+_JAC = "CASE WHEN len(a.f) > 0 AND len(b.f) > 0 THEN 100.0 * len(list_intersect(a.f, b.f)) / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f))) END"
+_CON = "CASE WHEN len(a.f) > 0 AND len(b.f) > 0 THEN 100.0 * len(list_intersect(a.f, b.f)) / least(len(a.f), len(b.f)) END"
+_SAME = "CASE WHEN trim(a.{0}) <> '' AND trim(b.{0}) <> '' THEN CASE WHEN lower(trim(a.{0})) = lower(trim(b.{0})) THEN 100.0 ELSE 0.0 END END"
+WEIGHTS = {"fields": 0.5, "contained": 0.25, "source": 0.15, "type": 0.1}
+
+
+@query(f"""WITH r AS (SELECT report_uid, data_source, report_type, {sql.field_list('report_fields')} AS f FROM {sql.CURRENT}),
+  s AS (SELECT p.a, p.b, {_JAC} AS j, {_CON} AS c, {_SAME.format('data_source')} AS d, {_SAME.format('report_type')} AS t FROM {_LATEST_SQL} p JOIN r a ON p.a = a.report_uid JOIN r b ON p.b = b.report_uid),
+  w AS (SELECT *, (coalesce(j * 0.5, 0) + coalesce(c * 0.25, 0) + coalesce(d * 0.15, 0) + coalesce(t * 0.1, 0)) / nullif((CASE WHEN j IS NULL THEN 0 ELSE 0.5 END + CASE WHEN c IS NULL THEN 0 ELSE 0.25 END + CASE WHEN d IS NULL THEN 0 ELSE 0.15 END + CASE WHEN t IS NULL THEN 0 ELSE 0.1 END), 0) AS o FROM s)
+  SELECT a, b, round(o, 4) AS overall, CASE WHEN o >= 90 THEN 'near' WHEN c >= 95 AND o >= 80 THEN 'contained' WHEN o >= 70 THEN 'similar' ELSE 'apart' END AS relation FROM w""")
+def weighted_similarity(s: SparkSession, d: str) -> DataFrame:
+    """Weighted similarity of matched reports; unavailable signals drop out and the other weights grow."""
+    now = current_reports(table(s, d, "reports"), ["report_uid", "report_fields", "data_source", "report_type"]).select("report_uid", field_set(F.col("report_fields")).alias("f"), "data_source", "report_type")
+    left = now.select(*[F.col(c).alias({"report_uid": "a"}.get(c, "x_" + c)) for c in now.columns])
+    right = now.select(*[F.col(c).alias({"report_uid": "b"}.get(c, "y_" + c)) for c in now.columns])
+    p = latest_pairs(s, d).select("a", "b").join(left, "a").join(right, "b")
+    x, y = (lambda c: F.col("x_" + c)), (lambda c: F.col("y_" + c))
+    p = p.select("a", "b", evidence.set_jaccard(x("f"), y("f")).alias("fields"), evidence.set_containment(x("f"), y("f")).alias("contained"), evidence.same_value(x("data_source"), y("data_source")).alias("source"), evidence.same_value(x("report_type"), y("report_type")).alias("type"))
+    o = evidence.weighted({k: F.col(k) for k in WEIGHTS}, WEIGHTS)
+    label = evidence.relation(F.col("o"), F.col("contained"), {90: "near", 70: "similar"}, "contained", 95, 80, "apart")
+    return p.withColumn("o", o).select("a", "b", F.round("o", 4).alias("overall"), label.alias("relation"))
+
+
+_UID_SQL = "try_cast(try_cast(regexp_replace({0}, '[\\s\\x{{a0}}'',]', '', 'g') AS DECIMAL(38,6)) AS BIGINT)"
+
+
+@query(f"""WITH p AS (SELECT pair_id, {_UID_SQL.format('report_uid_a')} AS a, {_UID_SQL.format('report_uid_b')} AS b, {_LABEL_SQL} AS y, lower(trim(label)) AS raw, sig_name FROM labeled_pairs)
+  SELECT pair_id, CASE WHEN a IS NULL OR b IS NULL THEN 'missing end' WHEN a = b THEN 'same record' WHEN raw IS NOT NULL AND y IS NULL AND raw NOT IN ('', '?', 'unsure', 'unknown', 'tbd') THEN 'unknown label' WHEN sig_name IS NOT NULL AND NOT (sig_name BETWEEN 0 AND 100) THEN 'sig_name out of range' END AS error FROM p""")
+def label_errors(s: SparkSession, d: str) -> DataFrame:
+    """What is wrong with each labelled pair."""
+    return checked_pairs(_label_ends(s, d), F.col("a"), F.col("b"), F.col("label"), parsed_label().isNotNull() | F.lower(F.btrim("label")).isin("", "?", "unsure", "unknown", "tbd"), ["sig_name"]).select("pair_id", "error")
+
+
+def _label_ends(s: SparkSession, d: str) -> DataFrame:
+    uid = lambda c: F.regexp_replace(c, "[\\s\\u00a0',]", "").try_cast("decimal(38,6)").cast("long")
+    return table(s, d, "labeled_pairs").select("pair_id", uid("report_uid_a").alias("a"), uid("report_uid_b").alias("b"), "label", "sig_name")
+
+
+@query(f"SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM (SELECT {_UID_SQL.format('report_uid_a')} AS a, {_UID_SQL.format('report_uid_b')} AS b FROM labeled_pairs) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_label_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Pairs that were labelled more than once, in either order."""
+    e = _label_ends(s, d).where("a is not null and b is not null")
+    return repeated_pairs(e, F.col("a"), F.col("b"))
+
+
 @query()
 def pair_scores(s: SparkSession, d: str) -> DataFrame:
     """Probability of every labelled pair under a small neural model that was fitted on a bounded sample."""
