@@ -2,10 +2,12 @@
 
 Sequences may be arbitrarily long, so none is ever sorted as a whole: events are cut into blocks of time per
 sequence, and the events of the last moments of a block are also given to the next block as context. As a
-link spans at most ``max_gap``, every event then sees its true predecessor inside its own block. Events that
-match their predecessor point to it; self-joins replace pointers by their targets' pointers until all
-reach a run's start. In one round no two open pointers of a run share a target, so these joins have no hot
-keys however long a run is.
+link spans at most ``max_gap``, every event then sees its true predecessor inside its own block. Matching
+events point to their predecessor; inside a block these pointers are followed by a running sum, which leaves
+one piece per run and block. Pieces that open with a match point to the piece before, and self-joins
+replace pointers by their targets' pointers until all reach a run's start: a logarithmic number of rounds
+over the pieces that cross blocks. In one round no two open pointers of a run share a target, so these
+joins have no hot keys however long a run is.
 """
 
 from __future__ import annotations
@@ -16,31 +18,34 @@ from pyspark.sql import functions as F
 from ledgerloom.storage import Workspace
 
 
-def linked_events(events: DataFrame, sequence: list[str], micros: str, tie: str, same: list[str], max_gap: int, blocks_of: int = 48) -> DataFrame:
-    """Events that continue a run: (id, ptr, done, at, ptr_at); ``done`` if the predecessor starts the run.
+def run_pieces(events: DataFrame, sequence: list[str], micros: str, tie: str, same: list[str], max_gap: int, blocks_of: int = 48) -> DataFrame:
+    """Pieces of runs: first_id, last_id, n, first_at, last_at, link (last id of the piece before, or null), late.
 
-    ``max_gap`` is in microseconds, inclusive; ``blocks_of`` is the block length in gaps.
+    ``late`` pieces end so near to their block's end that the next block may go on with them. Pieces of one
+    event that neither have a link nor are late are no part of any run and are left out.
     """
-    block = max(1, max_gap + 1) * blocks_of
-    halo = 2 * (max_gap + 1)
+    block = (max_gap + 1) * blocks_of
 
     def block_of(at: Column) -> Column:
         return ((at - F.pmod(at, F.lit(block))) / F.lit(block)).cast("long")
 
-    home, spill = block_of(F.col(micros)), block_of(F.col(micros) + F.lit(halo))
+    home, spill = block_of(F.col(micros)), block_of(F.col(micros) + F.lit(max_gap + 1))
+    seq = [f"q{i}" for i in range(len(sequence))]
     tagged = events.select(
-        *[F.col(c).alias(f"q{i}") for i, c in enumerate(sequence)],
-        F.col(micros).alias("at"), F.col(tie).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(same)],
+        *[F.col(c).alias(q) for q, c in zip(seq, sequence)], F.col(micros).alias("at"), F.col(tie).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(same)],
         home.alias("home"), F.explode(F.when(spill > home, F.array(home, spill)).otherwise(F.array(home))).alias("blk"),
     )
-    w = Window.partitionBy(*[f"q{i}" for i in range(len(sequence))], "blk").orderBy("at", "id")
-    prev = lambda c: F.lag(c).over(w)
-    equal: Column = F.lit(True)
+    w = Window.partitionBy(*seq, "blk").orderBy("at", "id")
+    equal: Column = F.col("at") - F.lag("at").over(w) <= max_gap
     for i in range(len(same)):
-        equal = equal & (F.col(f"k{i}") == prev(f"k{i}"))
-    step = tagged.withColumns({"m": F.coalesce(equal & (F.col("at") - prev("at") <= max_gap), F.lit(False)), "p": prev("id"), "pat": prev("at")})
-    step = step.withColumn("pm", F.lag("m").over(w))
-    return step.where("m and home = blk").select("id", F.col("p").alias("ptr"), (~F.coalesce("pm", F.lit(False))).alias("done"), "at", F.col("pat").alias("ptr_at"))
+        equal = equal & (F.col(f"k{i}") == F.lag(f"k{i}").over(w))
+    step = tagged.withColumns({"m": F.coalesce(equal, F.lit(False)), "p": F.lag("id").over(w), "ph": F.lag("home").over(w)})
+    own = step.where("home = blk").withColumn("across", F.col("m") & (F.col("ph") != F.col("blk")))
+    piece = own.withColumn("piece", F.sum(F.when(F.col("m") & ~F.col("across"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = piece.groupBy(*seq, "blk", "piece").agg(F.min(F.struct("at", "id")).alias("a"), F.max(F.struct("at", "id")).alias("z"), F.count("*").alias("n"), F.max(F.when(F.col("across"), F.col("p"))).alias("link"))
+    late = F.col("z.at") + F.lit(max_gap) >= (F.col("blk") + 1) * F.lit(block)
+    out = ends.select(F.col("a.id").alias("first_id"), F.col("z.id").alias("last_id"), "n", F.col("a.at").alias("first_at"), F.col("z.at").alias("last_at"), "link", late.alias("late"))
+    return out.where("n > 1 or link is not null or late")
 
 
 def collapse_runs(events: DataFrame, sequence: list[str], micros: str, tie: str, same: list[str], max_gap: int) -> DataFrame:
@@ -49,22 +54,25 @@ def collapse_runs(events: DataFrame, sequence: list[str], micros: str, tie: str,
     ``events`` has one row per event: ``sequence`` names its sequence, ``micros`` (long) its time, ``tie`` a
     unique long that orders equal times, ``same`` the columns that must be equal in neighbours, and two
     neighbours may lie at most ``max_gap`` microseconds apart (inclusive). Rows with a null in any of these
-    columns take no part. Repeated rows with one ``tie`` value count as events of their own only if their
-    times differ. An empty input gives an empty result.
+    columns take no part. Other columns may have any names. An empty input gives an empty result.
     """
     ws = Workspace(events.sparkSession, "runs-of-events")
     used = [*sequence, micros, tie, *same]
     clean = events.select(*used).where(" and ".join(f"`{c}` is not null" for c in used))
-    links = ws.write(linked_events(clean, sequence, micros, tie, same, max_gap), "links")
-    ready = [links.where("done")]
-    current = links
-    while True:
-        waiting = current.where("not done")
-        if waiting.isEmpty():
-            break
-        target = current.select(F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("done").alias("d2"), F.col("ptr_at").alias("a2"))
-        moved = waiting.select("id", "ptr", "at").join(target, "ptr").select("id", F.col("p2").alias("ptr"), F.col("d2").alias("done"), "at", F.col("a2").alias("ptr_at"))
-        current = ws.write(current.where("done").unionByName(moved), "round")
-        ready = [current]
-    all_done = ready[0]
-    return all_done.groupBy(F.col("ptr").alias("first_id")).agg((F.count("*") + 1).alias("run_count"), F.min("ptr_at").alias("first_micros"), F.max("at").alias("last_micros"))
+    pieces = ws.write(run_pieces(clean, sequence, micros, tie, same, max_gap), "pieces")
+    links = pieces.where("link is not null").select(F.col("last_id").alias("id"), F.col("link").alias("ptr"))
+    # a pointer is done when its target is the first piece of its run, which has no pointer itself
+    targets = links.select(F.col("id").alias("ptr"), F.lit(False).alias("done"))
+    current = ws.write(links.join(targets, "ptr", "left").select("id", "ptr", F.coalesce("done", F.lit(True)).alias("done")), "pointers")
+    while not current.where("not done").isEmpty():
+        onward = current.select(F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("done").alias("d2"))
+        moved = current.where("not done").select("id", "ptr").join(onward, "ptr").select("id", F.col("p2").alias("ptr"), F.col("d2").alias("done"))
+        longer = ws.write(current.where("done").unionByName(moved), "pointers")
+        ws.drop(current)
+        current = longer
+    whole = pieces.where("link is null and not late").select("first_id", F.col("n").alias("run_count"), F.col("first_at").alias("first_micros"), F.col("last_at").alias("last_micros"))
+    root = current.select(F.col("id").alias("last_id"), F.col("ptr").alias("root"))
+    parts = pieces.where("link is not null or late").join(root, "last_id", "left").withColumn("root", F.coalesce("root", "last_id"))
+    joined = parts.groupBy("root").agg(F.sum("n").alias("run_count"), F.min(F.struct("first_at", "first_id")).alias("a"), F.max("last_at").alias("last_micros"))
+    across = joined.where("run_count > 1").select(F.col("a.first_id").alias("first_id"), "run_count", F.col("a.first_at").alias("first_micros"), "last_micros")
+    return whole.unionByName(across)
