@@ -1,8 +1,8 @@
 """Evaluation passages inside training text, by a distributed positional inverted index (p9).
 
 The index holds a posting (term, document, position) for every occurrence of a term that occurs in the
-evaluation items, range-partitioned and sorted by term and document, so a frequent term spreads over
-partitions. Each stretch of ``length`` item words is represented by its rarest terms; their posting lists,
+evaluation items. It is written in segments, one per partition of the documents, each sorted by term: no
+shuffle, and a frequent term's list is spread over all segments. Each stretch of ``length`` item words is represented by its rarest terms; their posting lists,
 shifted by their offsets, are intersected, and only documents where all of a stretch's terms stand at one
 shift are read again for the exact comparison.
 
@@ -64,7 +64,7 @@ def postings(ws: Workspace, docs: DataFrame, doc_id: str, text: str, vocabulary:
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
     index = spread(rows).mapInPandas(run, _POSTING)
-    return ws.write(index.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos"), "index")
+    return ws.write(index.sortWithinPartitions("term", "doc_id", "pos"), "index")
 
 
 def anchors(item_words: dict[int, list[str]], vocabulary: dict[str, int], df: dict[int, int], length: int, per_window: int = 3) -> tuple[list[tuple[int, int, int]], dict[int, list[tuple[int, ...]]]]:
@@ -122,9 +122,14 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
             continue
         anchor = spark.createDataFrame(rows, "item_id long, term int, off int")
         shifted = index.join(F.broadcast(anchor), "term").select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("shift"), "off")
-        sets = spark.createDataFrame([(i, [list(s) for s in v]) for i, v in windows.items()], "item_id long, sets array<array<int>>")
-        met = shifted.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("off").alias("offs"))
-        whole = met.join(F.broadcast(sets), "item_id").where(F.exists("sets", lambda s: F.size(F.array_except(s, "offs")) == 0))
+        sets = spark.createDataFrame([(i, min(map(len, v)), [list(s) for s in v]) for i, v in windows.items()], "item_id long, least int, sets array<array<int>>")
+        # an anchor stands at most once at one shift, so a plain count tells which shifts may hold a whole set;
+        # the lists of offsets are built for these few only
+        at = ["doc_id", "item_id", "shift"]
+        counts = shifted.groupBy(*at).agg(F.count("*").alias("n")).join(F.broadcast(sets.select("item_id", "least")), "item_id")
+        likely = ws.write(counts.where("n >= least").select(*at), "shifts")
+        met = shifted.join(likely, at, "left_semi").groupBy(*at).agg(F.collect_list("off").alias("offs"))
+        whole = met.join(F.broadcast(sets), "item_id").where(F.exists("sets", lambda s: F.forall(s, lambda k: F.array_contains("offs", k))))
         found = ws.write(whole.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift")).alias("found")), "candidates")
         shared = spark.sparkContext.broadcast(block)
 
