@@ -20,7 +20,7 @@ class Settings:
 
     burst_minutes: int = 30
     cadences: dict[str, tuple[float, float]] = field(default_factory=lambda: dict(CADENCES))
-    block_most: int = 400
+    block_most: int = 400  # of blocking.shared_counts; results of the pipeline do not depend on it
     jaccard_least: float = 50.0
     containment_least: float = 80.0
     name_least: float = 90.0

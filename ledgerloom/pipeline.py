@@ -15,6 +15,7 @@ from ledgerloom.operators import blocking, bursts, rollups
 from ledgerloom.operators.components import components
 from ledgerloom.operators.instants import utc_micros
 from ledgerloom.operators.packed_values import packed_values
+from ledgerloom.operators.similar_names import similar_names
 from ledgerloom.session import ship
 from ledgerloom.sinks import writers
 from ledgerloom.sources.headers import canonical
@@ -57,20 +58,32 @@ def analyse(spark: SparkSession, comprehensive: DataFrame, runs: DataFrame, fiel
         links = named.select(F.col("row_id").alias("field_row_id"), name_key(F.col("value")).alias("report_key"), "t3_field_name").distinct()
     sets = links.groupBy(F.col("report_key").alias("name_key")).agg(F.array_sort(F.collect_set(F.col("field_row_id").cast("string"))).alias("field_ids"))
     with_sets = t1.join(sets, "name_key").select("report_uid", "field_ids")
-    items = with_sets.select("report_uid", F.explode("field_ids").alias("field"))
-    overlap = blocking.with_overlap(blocking.shared_counts(items, "report_uid", "field", cfg.block_most), with_sets, "report_uid", "field_ids")
+    by_fields = blocking.linked_sets(with_sets, "report_uid", "field_ids", cfg.jaccard_least, cfg.containment_least)
     plain = t1.select("report_uid", denoised_name(F.col("report_name"), True).alias("n"))
-    by_prefix = blocking.shared_counts(plain.where("n <> ''").select("report_uid", F.substring("n", 1, 4).alias("p")), "report_uid", "p", cfg.block_most)
-    either = overlap.select("a", "b").unionByName(by_prefix.select("a", "b")).distinct()
-    named_pairs = either.join(plain.withColumnsRenamed({"report_uid": "a", "n": "na"}), "a").join(plain.withColumnsRenamed({"report_uid": "b", "n": "nb"}), "b").withColumn("name_ratio", name_ratio("na", "nb"))
-    scored = named_pairs.withColumn("name_match", strong_name_match(F.col("na"), F.col("nb"), F.col("name_ratio"), cfg.name_least)).join(overlap, ["a", "b"], "left")
-    linked = F.col("name_match") | F.coalesce(F.col("jaccard") >= cfg.jaccard_least, F.lit(False)) | F.coalesce(F.col("containment") >= cfg.containment_least, F.lit(False))
-    pairs = scored.where(linked).select("a", "b", F.round("name_ratio", 4).alias("name_ratio"), "name_match", "shared", "jaccard", "containment")
+    na, nb = plain.withColumnsRenamed({"report_uid": "a", "n": "na"}), plain.withColumnsRenamed({"report_uid": "b", "n": "nb"})
+    named = pairs_by_name(plain, with_sets, cfg.name_least)
+    either = by_fields.select("a", "b").unionByName(named).distinct()
+    scored = either.join(na, "a").join(nb, "b").withColumn("name_ratio", name_ratio("na", "nb")).withColumn("name_match", strong_name_match(F.col("na"), F.col("nb"), F.col("name_ratio"), cfg.name_least))
+    overlap = blocking.with_overlap(either, with_sets, "report_uid", "field_ids").where("shared > 0")
+    pairs = scored.join(overlap, ["a", "b"], "left").select("a", "b", F.round("name_ratio", 4).alias("name_ratio"), "name_match", "shared", "jaccard", "containment")
     groups = components(pairs, "a", "b").select(F.col("node").alias("report_uid"), F.col("component").alias("group_uid"))
     covered = rollups.coverage(t1, ["report_name", "times_run", "last_run_date", "owner", "created_by"])
     return Results(reports, links, sets, pairs, groups, covered, spark.createDataFrame(flat(cfg), "setting string, value string"))
 
 
+def pairs_by_name(plain: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Record pairs (a, b), a < b, of strongly matching names that begin alike or share a field.
+
+    ``plain`` is (report_uid, n), ``sets`` is (report_uid, field_ids). Similar names are found among all names.
+    """
+    one = plain.where("n <> ''").join(sets, "report_uid", "left")
+    alike = similar_names(plain, "n", least).unionByName(one.select(F.col("n").alias("na"), F.col("n").alias("nb")).distinct())
+    x, y = one.withColumnsRenamed({"report_uid": "u", "n": "na", "field_ids": "fa"}), one.withColumnsRenamed({"report_uid": "v", "n": "nb", "field_ids": "fb"})
+    met = alike.join(x, "na").join(y, "nb").where("na < nb or u < v")
+    near = (F.substring("na", 1, 4) == F.substring("nb", 1, 4)) | F.coalesce(F.arrays_overlap("fa", "fb"), F.lit(False))
+    return met.where(near).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
 def run_pipeline(spark: SparkSession, table1: str, table2: str, table3: str | None, out: str, settings: Settings | None = None, run_id: int = 1, zone: str = "UTC", date_order: str = "MDY") -> Results:
     """Read the exports, analyse them and write every result below ``out``."""
     cfg = settings or Settings()

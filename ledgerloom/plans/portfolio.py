@@ -239,10 +239,9 @@ def member_vs_lead(s: SparkSession, d: str) -> DataFrame:
   e AS (SELECT a, b, round_even(100.0 * n / (na + nb - n), 1) AS j, round_even(100.0 * n / least(na, nb), 1) AS c FROM o), d AS (SELECT a AS u, j, c FROM e WHERE j >= 50 OR c >= 80 UNION ALL SELECT b, j, c FROM e WHERE j >= 50 OR c >= 80)
   SELECT u AS report_uid, count(*) AS n_links, max(j) AS best_jaccard, max(c) AS best_containment FROM d GROUP BY u""")
 def field_overlap_links(s: SparkSession, d: str) -> DataFrame:
-    """Reports linked by overlapping fields, found by blocking: links and best overlap per report."""
+    """Reports linked by overlapping fields, however frequent: links and best overlap per report."""
     sets = current_reports(table(s, d, "reports"), ["report_uid", "report_fields"]).select("report_uid", field_set(F.col("report_fields")).alias("f"))
-    items = sets.select("report_uid", F.explode("f").alias("field"))
-    scored = blocking.with_overlap(blocking.shared_counts(items, "report_uid", "field"), sets, "report_uid", "f").where("jaccard >= 50 or containment >= 80")
+    scored = blocking.linked_sets(sets, "report_uid", "f", 50, 80)
     ends = ordering.both_directions(scored, "a", "b", ["jaccard", "containment"])
     return ends.groupBy(F.col("uid").alias("report_uid")).agg(F.count("*").alias("n_links"), F.max("jaccard").alias("best_jaccard"), F.max("containment").alias("best_containment"))
 

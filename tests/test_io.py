@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import config
-from ledgerloom.pipeline import run_pipeline
+from ledgerloom.pipeline import analyse, run_pipeline
 from ledgerloom.sinks import writers
 from ledgerloom.sources import guards, headers, sheets
 
@@ -92,3 +92,12 @@ def test_pipeline(spark, tmp_path):
     assert [(r.a, r.b, r.name_match) for r in out.pairs.where("name_match").collect()] == [(0, 1, True)]
     assert {r.report_uid: r.group_uid for r in out.groups.collect()}[1] == 0
     assert spark.read.parquet(str(tmp_path / "out" / "all_reports")).where("owner = '***'").count() == 2
+
+
+def test_pipeline_compares_names_in_blocks_above_400(spark):
+    one = [(k, f"Staff {w} Overview") for k, w in enumerate(f"{a}{b}" for a in "bcdfghjklmnpqrstvwxz" for b in "bcdfghjklmnpqrstvwxyz")] + [(900, "Staff Headcount Listing"), (901, "Staff Headcount Listings")]
+    reports = spark.createDataFrame(one, "row_id long, report_name string").selectExpr("*", "'1' AS times_run", "'' AS last_run_date", "'' AS shared", "'' AS owner", "'' AS created_by")
+    runs = spark.createDataFrame([], "row_id long, t2_report_name string, t2_report_owner string, t2_requested_by string, t2_requested_id string, t2_exec_mode string, t2_start_date string")
+    assert len(one) > 400
+    got = {(r.a, r.b) for r in analyse(spark, reports, runs, None).pairs.collect()}
+    assert (900, 901) in got

@@ -1,10 +1,13 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.similarity import token_sort_ratio
 from ledgerloom.operators import blocking, bursts, metrics, ordering, pair_model, rollups
 from ledgerloom.operators.components import components
+from ledgerloom.operators.similar_names import similar_names
 
 
 def collapse(times, window):
@@ -97,6 +100,34 @@ def test_blocking_and_overlap(spark):
     assert blocking.shared_counts(items, "u", "i", most=1).count() == 0
 
 
+def test_linked_sets_in_blocks_of_any_size(spark):
+    r = random.Random(6)
+    rows = [(k, sorted(r.sample("abcdefghij", r.randrange(1, 7)))) for k in range(450)] + [(900, ["a"]), (901, []), (902, None), (903, ["only"])]
+    sets = spark.createDataFrame(rows, "u long, f array<string>")
+    for j, c in ((50, 80), (90, 100), (0, 0)):
+        got = {(x.a, x.b): (x.shared, x.jaccard, x.containment) for x in blocking.linked_sets(sets, "u", "f", j, c).collect()}
+        want = set()
+        for a, x in rows:
+            for b, y in rows:
+                if x and y and a < b and (n := len({*x} & {*y})) and (round(100 * n / len({*x, *y}), 1) >= j or round(100 * n / min(len(x), len(y)), 1) >= c):
+                    want.add((a, b))
+        assert set(got) == want and len(want) > 1000
+    items = sets.select("u", F.explode("f").alias("i"))
+    assert blocking.shared_counts(items, "u", "i", 100).count() == 0  # every block is above a cap of 100
+
+
+@pytest.mark.parametrize("least", [90.0, 75.0, 50.0])
+def test_similar_names_against_all_pairs(spark, least):
+    r = random.Random(7)
+    words = ["staff", "pay", "list", "2024", "q1", "a", "headcount", "cost", "x"]
+    names = {" ".join(r.choice(words) for _ in range(r.randrange(1, 5))) for _ in range(70)}
+    names |= {"".join(c for c in n if r.random() > 0.08) for n in names} | {"ab", "abc", "abcd"}
+    digits = lambda n: {*re.findall(r"\d+", n)}
+    want = {(a, b) for a in names for b in names if a and b and a < b and digits(a) == digits(b) and token_sort_ratio(a, b) >= least}
+    got = similar_names(spark.createDataFrame([(n,) for n in [*names, "", None]], "n string"), "n", least).collect()
+    assert len(got) == len({tuple(x) for x in got}) and {tuple(x) for x in got} == want and want
+
+
 def test_rollups(spark):
     runs = spark.createDataFrame([("a", 2, None, "p", "m1", None), ("a", 1, None, "q", "m2", "o2"), ("a", 3, None, "p", "m1", "o1"), ("", 4, None, "p", "m", "o")], "k string, r long, t timestamp, q string, m string, o string")
     row = rollups.runs_rollup(runs, "k", "r", "t", F.col("q"), F.col("m"), F.col("o")).collect()
