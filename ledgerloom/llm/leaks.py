@@ -12,6 +12,7 @@ vocabulary and anchors are the only data sent to every executor.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -154,11 +155,103 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
     return out.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
 
 
+_PLACED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.IntegerType()))])
+_NEAR = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("n_terms", T.IntegerType())])
+
+
+def placed_terms(ws: Workspace, docs: DataFrame, doc_id: str, text: str, vocabulary: dict[str, int]) -> DataFrame:
+    """The written positions of a vocabulary's terms, one row per document row, so repeated ids don't mix."""
+    shared = ws.spark.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = shared.value.get
+        for b in batches:
+            out = []
+            for d, t in zip(b["d"].tolist(), b["t"].tolist()):
+                got = np.fromiter((get(w, -1) for w in words(t)), dtype=np.int32)
+                at = np.flatnonzero(got >= 0)
+                out.append((d, got[at], at.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["doc_id", "terms", "places"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
+    return ws.write(spread(rows).mapInPandas(run, _PLACED), "placed")
+
+
+def rare_sets(item_words: dict[int, list[str]], vocabulary: dict[str, int], df: dict[int, int], rare: int, least: int) -> dict[tuple[tuple[int, ...], int, int], list[int]]:
+    """{(terms by rarity, how many of them, how many hits) that must stand close: items}."""
+    out: dict[tuple[tuple[int, ...], int, int], list[int]] = {}
+    for item, w in item_words.items():
+        ids = sorted({vocabulary[x] for x in w if vocabulary[x] in df}, key=lambda t: (df[t], t))[:rare]
+        if len(ids) >= least:
+            out.setdefault((tuple(ids), least, least), []).append(item)
+    return out
+
+
+class Nearness:
+    """Which sets of terms stand within ``span`` words in a document, exactly.
+
+    A set of which ``need`` terms must be close has two of its ``len - need + 2`` rarest among them (one, if only one
+    is needed), so pairs of these lead to the sets; each is then tried around the pair, in a block with a halo.
+    """
+
+    def __init__(self, sets: list[tuple[tuple[int, ...], int, int]], span: int):
+        self.span, self.sets = span, [(frozenset(t), need, hits) for t, need, hits in sets]
+        self.single: dict[int, list[int]] = {}
+        self.pair: dict[tuple[int, int], list[int]] = {}
+        self.leading: set[int] = set()
+        for k, (t, need, _) in enumerate(sets):
+            if need < 2:
+                for x in t[: len(t) - need + 1]:
+                    self.single.setdefault(x, []).append(k)
+                continue
+            lead = sorted(t[: len(t) - need + 2])
+            self.leading |= {*lead}
+            for i, x in enumerate(lead):
+                for y in lead[i + 1 :]:
+                    self.pair.setdefault((x, y), []).append(k)
+
+    def candidates(self, terms: list[int], places: list[int]) -> dict[int, set[int]]:
+        """{block of the text: sets to try there}."""
+        out: dict[int, set[int]] = {}
+        before: list[tuple[int, int]] = []
+        for p, x in zip(places, terms):
+            if x in self.single:
+                out.setdefault(p // self.span, set()).update(self.single[x])
+            if x not in self.leading:
+                continue
+            before = [b for b in before if p - b[0] < self.span]
+            for y in {b[1] for b in before}:
+                if got := self.pair.get((x, y) if x < y else (y, x)):
+                    out.setdefault(p // self.span, set()).update(got)
+            before.append((p, x))
+        return out
+
+    def found(self, terms: list[int], places: list[int]) -> dict[int, int]:
+        """{set: most of its distinct terms in any ``span`` consecutive words}."""
+        best: dict[int, int] = {}
+        for block, tries in self.candidates(terms, places).items():
+            lo, hi = bisect_left(places, (block - 1) * self.span), bisect_left(places, (block + 2) * self.span)
+            near = list(zip(places[lo:hi], terms[lo:hi]))
+            here = {t for _, t in near}
+            for k in tries:
+                members, need, hits = self.sets[k]
+                if len(members & here) < max(need, best.get(k, 0) + 1):
+                    continue
+                window: list[tuple[int, int]] = []
+                for p, t in near:
+                    if t in members:
+                        window = [x for x in window if p - x[0] < self.span] + [(p, t)]
+                        n = len({x[1] for x in window}) if len(window) >= hits else 0
+                        if n >= need and n > best.get(k, 0):
+                            best[k] = n
+        return best
+
+
 def near_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, rare: int = 6, least: int = 4, span: int = 24) -> DataFrame:
     """(doc_id, item_id, n_terms): documents that hold ``least`` of an item's ``rare`` rarest words close together.
 
-    Close means inside one stretch of ``span`` words that starts at a multiple of half of it: words within
-    half a span of each other always share one. ``n_terms`` is the most distinct words in a stretch.
+    Close means within some ``span`` consecutive words, wherever they start. ``n_terms`` is the most distinct
+    rare words in such a stretch.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
@@ -167,21 +260,30 @@ def near_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, ite
         vocabulary = {w: i for i, w in enumerate(sorted({w for ws_ in block.values() for w in ws_}))}
         if not vocabulary:
             continue
-        index = postings(ws, docs, doc_id, text, vocabulary)
-        df = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}
-        rows = []
-        for item, w in block.items():
-            ids = sorted({vocabulary[x] for x in w if vocabulary[x] in df}, key=lambda t: (df[t], t))[:rare]
-            rows += [(item, t) for t in ids] if len(ids) >= least else []
-        if not rows:
+        placed = placed_terms(ws, docs, doc_id, text, vocabulary)
+        df = {r["term"]: r["n"] for r in placed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+        sets = rare_sets(block, vocabulary, df, rare, least)
+        if not sets:
             continue
-        step = span // 2
-        block_no = F.floor(F.col("pos") / step)
-        hits = index.join(F.broadcast(spark.createDataFrame(rows, "item_id long, term int")), "term").select("doc_id", "item_id", "term", F.explode(F.array(block_no, block_no - 1)).alias("stretch"))
-        parts.append(hits.groupBy("doc_id", "item_id", "stretch").agg(F.size(F.collect_set("term")).alias("n")).where(F.col("n") >= least).groupBy("doc_id", "item_id").agg(F.max("n").alias("n_terms")))
+        shared = spark.sparkContext.broadcast(list(sets.items()))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            owners = [i for _, i in shared.value]
+            near = Nearness([s for s, _ in shared.value], span)
+            for b in batches:
+                out = []
+                for d, terms, places in zip(b["doc_id"].tolist(), b["terms"], b["places"]):
+                    best: dict[int, int] = {}
+                    for k, n in near.found(terms.tolist(), places.tolist()).items():
+                        for item in owners[k]:
+                            best[item] = max(best.get(item, 0), n)
+                    out += [(d, item, n) for item, n in best.items()]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_terms"])
+
+        parts.append(spread(placed).mapInPandas(run, _NEAR))
     if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_terms int")
+        return spark.createDataFrame([], _NEAR)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.groupBy("doc_id", "item_id").agg(F.max("n_terms").alias("n_terms"))

@@ -51,6 +51,18 @@ def test_leaks_against_every_shift(spark):
     assert (103, 0) in near
 
 
+def test_near_words_wherever_they_stand(spark):
+    item = "alpha beta gamma delta epsilon zeta"
+    gap = lambda k: " ".join(["filler"] * k)
+    # four rare words over 20 positions, from every start; over 25 they are too far apart
+    docs = [(k, f"{gap(k)} alpha {gap(6)} beta {gap(6)} gamma {gap(4)} delta") for k in range(24)] + [(100 + k, f"{gap(k)} alpha {gap(8)} beta {gap(8)} gamma {gap(5)} delta") for k in range(24)]
+    docs += [(200, "alpha beta"), (200, "gamma delta"), (201, "epsilon zeta alpha")]
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    ii = spark.createDataFrame([(1, item)], "item_id long, item_text string")
+    got = {(x.doc_id, x.item_id, x.n_terms) for x in near_passages(dd, "doc_id", "text", ii, "item_id", "item_text").collect()}
+    assert got == {(k, 1, 4) for k in range(24)}
+
+
 def check_plan(sizes, capacity):
     bins, seen = {}, {}
     for size, lo, hi, first, each, at in plan(sizes, capacity):
