@@ -177,14 +177,23 @@ def placed_terms(ws: Workspace, docs: DataFrame, doc_id: str, text: str, vocabul
     return ws.write(spread(rows).mapInPandas(run, _PLACED), "placed")
 
 
-def rare_sets(item_words: dict[int, list[str]], vocabulary: dict[str, int], df: dict[int, int], rare: int, least: int) -> dict[tuple[tuple[int, ...], int, int], list[int]]:
-    """{(terms by rarity, how many of them, how many hits) that must stand close: items}."""
-    out: dict[tuple[tuple[int, ...], int, int], list[int]] = {}
+def rare_sets(item_words: dict[int, list[str]], vocabulary: dict[str, int], df: dict[int, int], rare: int, least: int, length: int) -> dict[tuple[tuple[int, ...], int, int], list[int]]:
+    """{(terms by rarity, how many of them, how many hits) that must stand close: items}.
+
+    The rarest words of the whole item, and those of each of its stretches of ``length`` words. A stretch of fewer
+    than ``least`` different words needs all of them and ``length`` hits, as an exact copy has.
+    """
+    out: dict[tuple[tuple[int, ...], int, int], set[int]] = {}
     for item, w in item_words.items():
-        ids = sorted({vocabulary[x] for x in w if vocabulary[x] in df}, key=lambda t: (df[t], t))[:rare]
-        if len(ids) >= least:
-            out.setdefault((tuple(ids), least, least), []).append(item)
-    return out
+        ids = [vocabulary[x] for x in w]
+        stretches = [ids] + [ids[k : k + length] for k in range(len(ids) - length + 1)]
+        for k, s in enumerate(stretches):
+            terms = sorted({t for t in s if t in df}, key=lambda t: (df[t], t))[:rare]
+            if len(terms) >= least:
+                out.setdefault((tuple(terms), least, least), set()).add(item)
+            elif k and terms and len(terms) == len({*s}):
+                out.setdefault((tuple(terms), len(terms), length), set()).add(item)
+    return {k: sorted(v) for k, v in out.items()}
 
 
 class Nearness:
@@ -247,11 +256,12 @@ class Nearness:
         return best
 
 
-def near_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, rare: int = 6, least: int = 4, span: int = 24) -> DataFrame:
-    """(doc_id, item_id, n_terms): documents that hold ``least`` of an item's ``rare`` rarest words close together.
+def near_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, rare: int = 6, least: int = 4, span: int = 24, length: int = 12) -> DataFrame:
+    """(doc_id, item_id, n_terms): documents that hold ``least`` of the ``rare`` rarest words of an item, or of a stretch of it, close together.
 
-    Close means within some ``span`` consecutive words, wherever they start. ``n_terms`` is the most distinct
-    rare words in such a stretch.
+    Close means within some ``span`` consecutive words, wherever they start. A stretch is ``length`` consecutive
+    words of the item, so parts of an item are found too, and every passage of ``leaked_passages`` with the same
+    length (up to ``span``). ``n_terms`` is the most distinct rare words of one item or stretch found close together.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
@@ -262,7 +272,7 @@ def near_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, ite
             continue
         placed = placed_terms(ws, docs, doc_id, text, vocabulary)
         df = {r["term"]: r["n"] for r in placed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-        sets = rare_sets(block, vocabulary, df, rare, least)
+        sets = rare_sets(block, vocabulary, df, rare, least, length)
         if not sets:
             continue
         shared = spark.sparkContext.broadcast(list(sets.items()))

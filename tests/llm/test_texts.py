@@ -63,6 +63,20 @@ def test_near_words_wherever_they_stand(spark):
     assert got == {(k, 1, 4) for k in range(24)}
 
 
+def test_near_finds_parts_of_items(spark):
+    r = random.Random(9)
+    rare, usual = [f"rare{k}" for k in range(8)], [f"usual{k}" for k in range(30)]
+    items = [(1, " ".join(rare + usual)), (2, "same " * 14), (3, "on and on " * 5)]
+    docs = [(k, " ".join(usual[k % 15 : k % 15 + 12])) for k in range(20)]  # a part without the item's rarest words
+    docs += [(30, " ".join(usual[3:8] + ["other"] + usual[9:14])), (31, "same " * 12), (32, "on and on " * 4), (33, "same on and"), (34, " ".join(rare))]
+    docs += [(40 + k, " ".join(r.sample(usual, 3))) for k in range(10)]
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    near = {(x.doc_id, x.item_id) for x in near_passages(dd, "doc_id", "text", ii, "item_id", "item_text").collect()}
+    exact = {(x.doc_id, x.item_id) for x in leaked_passages(dd, "doc_id", "text", ii, "item_id", "item_text").collect()}
+    assert exact == {(k, 1) for k in range(20)} | {(31, 2), (32, 3)}
+    assert near == exact | {(30, 1), (34, 1)}
+
+
 def check_plan(sizes, capacity):
     bins, seen = {}, {}
     for size, lo, hi, first, each, at in plan(sizes, capacity):
