@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import Settings, flat
 from ledgerloom.functions import instants as inst
-from ledgerloom.functions.names import clean_text, denoised_name, name_key, squeeze, to_bool, to_number
+from ledgerloom.functions.names import casefold, clean_text, denoised_name, name_key, squeeze, to_bool, to_number
 from ledgerloom.functions.similarity import name_ratio, strong_name_match
 from ledgerloom.operators import blocking, bursts, rollups
 from ledgerloom.operators.components import components
@@ -53,15 +53,19 @@ def analyse(spark: SparkSession, comprehensive: DataFrame, runs: DataFrame, fiel
     reports = rollups.join_rollup(t1, rolled, "name_key", "last_run_date").join(rhythm, "name_key", "left")
     if fields is None:
         links = spark.createDataFrame([], "field_row_id long, report_key string, t3_field_name string")
+        objects_of = spark.createDataFrame([], "name_key string, objects array<string>")
     else:
         named = packed_values(fields.select("row_id", "t3_field_name", "t3_where_used"), "t3_where_used", comprehensive, "report_name")
         links = named.select(F.col("row_id").alias("field_row_id"), name_key(F.col("value")).alias("report_key"), "t3_field_name").distinct()
+        owned = fields.select(F.col("row_id").alias("field_row_id"), casefold(clean_text(F.col("t3_business_object"))).alias("object")).where("object is not null")
+        objects_of = links.join(owned, "field_row_id").groupBy(F.col("report_key").alias("name_key")).agg(F.collect_set("object").alias("objects"))
     sets = links.groupBy(F.col("report_key").alias("name_key")).agg(F.array_sort(F.collect_set(F.col("field_row_id").cast("string"))).alias("field_ids"))
     with_sets = t1.join(sets, "name_key").select("report_uid", "field_ids")
+    objects = t1.join(objects_of, "name_key").select("report_uid", "objects")
     by_fields = blocking.linked_sets(with_sets, "report_uid", "field_ids", cfg.jaccard_least, cfg.containment_least)
     plain = t1.select("report_uid", denoised_name(F.col("report_name"), True).alias("n"))
     na, nb = plain.withColumnsRenamed({"report_uid": "a", "n": "na"}), plain.withColumnsRenamed({"report_uid": "b", "n": "nb"})
-    named = pairs_by_name(plain, with_sets, cfg.name_least)
+    named = pairs_by_name(plain, with_sets, objects, cfg.name_least)
     either = by_fields.select("a", "b").unionByName(named).distinct()
     scored = either.join(na, "a").join(nb, "b").withColumn("name_ratio", name_ratio("na", "nb")).withColumn("name_match", strong_name_match(F.col("na"), F.col("nb"), F.col("name_ratio"), cfg.name_least))
     overlap = blocking.with_overlap(either, with_sets, "report_uid", "field_ids").where("shared > 0")
@@ -71,16 +75,16 @@ def analyse(spark: SparkSession, comprehensive: DataFrame, runs: DataFrame, fiel
     return Results(reports, links, sets, pairs, groups, covered, spark.createDataFrame(flat(cfg), "setting string, value string"))
 
 
-def pairs_by_name(plain: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Record pairs (a, b), a < b, of strongly matching names that begin alike or share a field.
+def pairs_by_name(plain: DataFrame, sets: DataFrame, objects: DataFrame, least: float) -> DataFrame:
+    """Record pairs (a, b), a < b, of strongly matching names that begin alike or share a field or a business object.
 
-    ``plain`` is (report_uid, n), ``sets`` is (report_uid, field_ids). Similar names are found among all names.
+    ``plain`` is (report_uid, n), ``sets`` is (report_uid, field_ids), ``objects`` is (report_uid, objects). Similar names are found among all names.
     """
-    one = plain.where("n <> ''").join(sets, "report_uid", "left")
+    one = plain.where("n <> ''").join(sets, "report_uid", "left").join(objects, "report_uid", "left")
     alike = similar_names(plain, "n", least).unionByName(one.select(F.col("n").alias("na"), F.col("n").alias("nb")).distinct())
-    x, y = one.withColumnsRenamed({"report_uid": "u", "n": "na", "field_ids": "fa"}), one.withColumnsRenamed({"report_uid": "v", "n": "nb", "field_ids": "fb"})
+    x, y = one.withColumnsRenamed({"report_uid": "u", "n": "na", "field_ids": "fa", "objects": "oa"}), one.withColumnsRenamed({"report_uid": "v", "n": "nb", "field_ids": "fb", "objects": "ob"})
     met = alike.join(x, "na").join(y, "nb").where("na < nb or u < v")
-    near = (F.substring("na", 1, 4) == F.substring("nb", 1, 4)) | F.coalesce(F.arrays_overlap("fa", "fb"), F.lit(False))
+    near = (F.substring("na", 1, 4) == F.substring("nb", 1, 4)) | F.coalesce(F.arrays_overlap("fa", "fb"), F.lit(False)) | F.coalesce(F.arrays_overlap("oa", "ob"), F.lit(False))
     return met.where(near).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
 

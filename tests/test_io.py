@@ -101,3 +101,11 @@ def test_pipeline_compares_names_in_blocks_above_400(spark):
     assert len(one) > 400
     got = {(r.a, r.b) for r in analyse(spark, reports, runs, None).pairs.collect()}
     assert (900, 901) in got
+
+
+def test_pipeline_compares_names_that_share_a_business_object(spark):
+    names = ["Headcount Summary Listing", "Geadcount Summary Listing", "Feadcount Summary Listing"]
+    reports = spark.createDataFrame(list(enumerate(names)), "row_id long, report_name string").selectExpr("*", "'1' AS times_run", "'' AS last_run_date", "'' AS shared", "'' AS owner", "'' AS created_by")
+    runs = spark.createDataFrame([], "row_id long, t2_report_name string, t2_report_owner string, t2_requested_by string, t2_requested_id string, t2_exec_mode string, t2_start_date string")
+    fields = spark.createDataFrame([(k, f"f{k}", o, n) for k, (o, n) in enumerate(zip(["Worker", " worker", "Pay"], names))], "row_id long, t3_field_name string, t3_business_object string, t3_where_used string")
+    assert [(r.a, r.b, r.name_match, r.shared) for r in analyse(spark, reports, runs, fields).pairs.collect()] == [(0, 1, True, None)]
