@@ -18,36 +18,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.gbdt import BoostedTrees, best_threshold
-from ledgerloom.llm.pii_spans import KINDS, Lexicon, candidates
-from ledgerloom.llm.pii_training import labelled_sentences
+from ledgerloom.llm.name_statistics import NameStatistics
+from ledgerloom.llm.pii_spans import KINDS, NameKnowledge, People, candidates
+from ledgerloom.llm.pii_training import FAMILIES, GIVEN, NOUNS, THINGS, labelled_sentences, ordinary_words
 from ledgerloom.storage import spread
 
-#: Labelled sentences that the models are fitted on, and names of the directory that the lexicon may learn from.
-TRAINING_ROWS = 6_000
-DIRECTORY_ROWS = 20_000
-# Families to train on where no directory is given.
-FAMILIES = "Anderson Berglund Castellano Dufresne Eriksson Fitzgerald Gutierrez Hoffmann Ivanenko Johansson Kowalski Lindqvist Marchetti Novakova Okonkwo Petrovic Quintana Rasmussen Schneider Takahashi Ulriksen Villanueva Wojciechowski Yamamoto Zimmermann".split()
+#: Bounds of the labelled sample: sentences built, and directory names and titles they are built with. What the
+#: candidates and features know of names and titles comes from all of them, see ``name_statistics``.
+TRAINING_ROWS = 8_000
+SAMPLE_ROWS = 2_000
+#: Texts scored at once: bounds the memory of a Python worker.
+CHUNK = 256
 
 
 @dataclass
 class Redactor:
-    lexicon: Lexicon
+    knowledge: NameKnowledge
     models: dict[str, BoostedTrees]
     thresholds: dict[str, float]
     quality: dict[str, tuple[float, float]]
 
     def select(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Per text the chosen (start, end, kind), in text order."""
-        found = [candidates(t, self.lexicon) for t in texts]
+        out: list[list[tuple[int, int, str]]] = []
+        for at in range(0, len(texts), CHUNK):
+            out += self._select(texts[at : at + CHUNK])
+        return out
+
+    def _scored(self, kind: str, x: np.ndarray) -> np.ndarray:
+        return self.models[kind].probability(x) if len(x) else np.zeros(0)
+
+    def _select(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        self.knowledge.forget()
+        people = People(self.knowledge)
         scored: list[list[tuple[float, int, int, str]]] = [[] for _ in texts]
-        for kind in KINDS:
-            at = [(i, c) for i, cs in enumerate(found) for c in cs if c.kind == kind]
-            if not at:
-                continue
-            p = self.models[kind].probability(np.array([c.x for _, c in at], dtype=np.float64))
-            for (i, c), q in zip(at, p.tolist()):
-                if q >= self.thresholds[kind]:
-                    scored[i].append((q, c.start, c.end, kind))
+        others: dict[str, list] = {k: [] for k in KINDS}
+        for i, t in enumerate(texts):
+            tokens = t.split()
+            codes = self.knowledge.codes(tokens)
+            people.collect(i, t, codes, tokens)
+            for c in candidates(t, codes):
+                others[c.kind].append((i, c))
+        if people.spans:
+            p = self._scored("person", people.features())
+            for n in np.flatnonzero(p >= self.thresholds["person"]).tolist():
+                i, a, b = people.spans[n]
+                scored[i].append((float(p[n]), a, b, "person"))
+        for kind, at in others.items():
+            if at:
+                p = self._scored(kind, np.array([c.x for _, c in at], dtype=np.float32))
+                for n in np.flatnonzero(p >= self.thresholds[kind]).tolist():
+                    i, c = at[n]
+                    scored[i].append((float(p[n]), c.start, c.end, kind))
         out = []
         for spans in scored:
             taken: list[tuple[int, int, str]] = []
@@ -59,39 +81,53 @@ class Redactor:
         return out
 
 
-def fit(names: list[str], rows: int = TRAINING_ROWS, seed: int = 11) -> Redactor:
-    """Models of all kinds; a third of the sentences is held out for calibration, thresholds and quality."""
-    lexicon = Lexicon.from_names(names)
-    known = [n.split() for n in names if len(n.split()) == 2]
-    given = sorted({k[0] for k in known}) or [g.capitalize() for g in sorted(lexicon.given)[:60]]
-    families = sorted({k[1] for k in known}) or FAMILIES
-    if not names:
-        lexicon = Lexicon.from_names([f"{g} {f}" for g in given[:1] for f in families])
-    data = labelled_sentences(rows, seed, given, families)
+def fit(statistics: NameStatistics | None = None, people: list[str] | None = None, titles: list[str] | None = None, rows: int = TRAINING_ROWS, seed: int = 11) -> Redactor:
+    """Models of all kinds; a third of the sentences is held out for calibration, thresholds and quality.
+
+    ``statistics`` know every name and title; ``people`` and ``titles`` are samples of them to build sentences with.
+    """
+    known = statistics or NameStatistics()
+    # two thirds of the built-in names are known, as if a directory held them; ordinary words are known as such
+    for k, f in enumerate(FAMILIES):
+        if k % 3:
+            known.learn_name(f"{GIVEN[k % len(GIVEN)]} {f}")
+    for w in NOUNS[::2] + THINGS[::2] + ordinary_words():
+        known.learn_title(w)
+    knowledge = NameKnowledge(known)
+    data = labelled_sentences(rows, seed, people or [], titles or [])
+    gold: list[set[tuple[str, int, int]]] = [set(g) for _, g in data]
     xs: dict[str, list] = {k: [] for k in KINDS}
     ys: dict[str, list] = {k: [] for k in KINDS}
     held: dict[str, list] = {k: [] for k in KINDS}
-    for i, (text, gold) in enumerate(data):
-        spans = set(gold)
-        for c in candidates(text, lexicon):
+    proposed = People(knowledge)
+    for i, (text, _) in enumerate(data):
+        tokens = text.split()
+        codes = knowledge.codes(tokens)
+        proposed.collect(i, text, codes, tokens)
+        for c in candidates(text, codes):
             xs[c.kind].append(c.x)
-            ys[c.kind].append(float((c.kind, c.start, c.end) in spans))
+            ys[c.kind].append(float((c.kind, c.start, c.end) in gold[i]))
             held[c.kind].append(i % 3 == 0)
+    ys["person"] = [float(("person", a, b) in gold[i]) for i, a, b in proposed.spans]
+    held["person"] = [i % 3 == 0 for i, _, _ in proposed.spans]
     models, thresholds, quality = {}, {}, {}
     for k in KINDS:
-        x, y, h = np.array(xs[k], dtype=np.float64), np.array(ys[k]), np.array(held[k])
-        m = BoostedTrees().fit(x[~h], y[~h]).calibrate(x[h], y[h])
+        x = proposed.features() if k == "person" else np.array(xs[k], dtype=np.float32)
+        y, h = np.array(ys[k]), np.array(held[k])
+        m = BoostedTrees(trees=110 if k == "person" else 60).fit(x[~h], y[~h]).calibrate(x[h], y[h])
         p = m.probability(x[h])
-        models[k], thresholds[k] = m, best_threshold(p, y[h])
+        # a missed piece is worse than a needless placeholder
+        models[k], thresholds[k] = m, best_threshold(p, y[h], 1.3 if k == "person" else 1.0)
         hit = p >= thresholds[k]
-        quality[k] = (float((y[h][hit]).mean()) if hit.any() else 0.0, float(hit[y[h] > 0].mean()) if (y[h] > 0).any() else 0.0)
-    return Redactor(lexicon, models, thresholds, quality)
+        n = sum(g[0] == k for i, (_, gs) in enumerate(data) if i % 3 == 0 for g in gs)
+        quality[k] = (float((y[h][hit]).mean()) if hit.any() else 0.0, float(y[h][hit].sum()) / max(1, n))
+    return Redactor(knowledge, models, thresholds, quality)
 
 
-def directory_sample(names: DataFrame, column: str, rows: int = DIRECTORY_ROWS) -> list[str]:
-    """A bounded, deterministic sample of distinct names for the lexicon: the ``rows`` smallest by hash."""
-    distinct = names.where(F.col(column).isNotNull()).select(F.col(column).alias("n")).distinct()
-    return sorted(r["n"] for r in distinct.orderBy(F.xxhash64("n"), "n").limit(rows).collect())
+def sample(rows: DataFrame, column: str, most: int = SAMPLE_ROWS) -> list[str]:
+    """A bounded, deterministic sample of distinct texts: the ``most`` smallest by hash."""
+    distinct = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("n")).distinct()
+    return sorted(r["n"] for r in distinct.orderBy(F.xxhash64("n"), "n").limit(most).collect())
 
 
 _FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pii_kind", T.StringType()), T.StructField("pii_text", T.StringType())])

@@ -1,17 +1,104 @@
 import numpy as np
 import pytest
 
+from ledgerloom.llm import pii_training
 from ledgerloom.llm.gbdt import BoostedTrees, best_threshold
-from ledgerloom.llm.pii_spans import candidates
+from ledgerloom.llm.name_statistics import BUCKETS, KINDS, NameStatistics, bucket, name_statistics
+from ledgerloom.llm.pii_spans import NameKnowledge, People, candidates
 from ledgerloom.llm.pii_training import labelled_sentences
-from ledgerloom.llm.redaction import find_pii, fit, redact
-
-NAMES = [f"{g} {f}" for g in "Aiko April José Mark Zoë".split() for f in "Velquell Tarnquell Ostrwicz Karvwicz Lumbethwaite Pellethwaite Dostiñeda Moldiñeda".split()]
+from ledgerloom.llm.redaction import find_pii, fit, redact, sample
+
+NAMES = [f"{g} {f}" for g in "Tilda Bruno Marlene Osric Petra".split() for f in "Quandrell Brackwith Solmarin Ostrander Vintermoor Hallowen".split()]
+TITLES = [f"{a} {b} {c}" for a in ("Regional", "Interim") for b in ("Turnover", "Absence", "Budget") for c in ("Overview", "Tracker", "Roster")]
+
+# Written by hand: people, places, countries and sentences of which none stands in the training lists.
+WRITTEN = [
+    ("The change was signed off by Siobhan McAllister yesterday.", [("person", "Siobhan McAllister")]),
+    ("Wei Zhang will join the call.", [("person", "Wei Zhang")]),
+    ("Deepak Sharma and Oksana Bondarenko objected.", [("person", "Deepak Sharma"), ("person", "Oksana Bondarenko")]),
+    ("Reviewed with Lakshmi Iyer on the phone.", [("person", "Lakshmi Iyer")]),
+    ("Tunde Bakare wrote the draft.", [("person", "Tunde Bakare")]),
+    ("Mr. Nguyen Van Minh has the key.", [("person", "Nguyen Van Minh")]),
+    ("Member: O'Connor, Brendan", [("person", "O'Connor, Brendan")]),
+    ("Grüße\nHeike Sommerfeld", [("person", "Heike Sommerfeld")]),
+    ("Please ask Fatoumata Diallo for the file.", [("person", "Fatoumata Diallo")]),
+    ("Carried over from R. Castellanos.", [("person", "R. Castellanos")]),
+    ("| Marguerite Delacroix | open |", [("person", "Marguerite Delacroix")]),
+    ("Committee: Haruki Nakagawa, Ingeborg Thorvaldsen", [("person", "Haruki Nakagawa"), ("person", "Ingeborg Thorvaldsen")]),
+    ("Dr. Yetunde Olawale called twice.", [("person", "Yetunde Olawale")]),
+    ("Handled by Esteban Villarreal.", [("person", "Esteban Villarreal")]),
+    ("Ludmila Petrenko's desk is empty.", [("person", "Ludmila Petrenko")]),
+    ("From: Callum Ferguson <callum.ferguson@brightwater.io>", [("person", "Callum Ferguson"), ("email", "callum.ferguson@brightwater.io")]),
+    ("Dear Ms Rosalind Atherton,\nthe numbers are wrong.", [("person", "Rosalind Atherton")]),
+    ("Frau Annegret Lindemann ist im Urlaub.", [("person", "Annegret Lindemann")]),
+    ("Contactez Mathilde Garnier demain.", [("person", "Mathilde Garnier")]),
+    ("Hablé con Rocío Santamaría ayer.", [("person", "Rocío Santamaría")]),
+    ("Il signor Vittorio Bianchi ha firmato.", [("person", "Vittorio Bianchi")]),
+    ("Thanks, Priscilla Oduya", [("person", "Priscilla Oduya")]),
+    ("Abernathy, Cordelia J. retired.", [("person", "Abernathy, Cordelia J.")]),
+    ("user: Kazimierz Wolski; role: reader", [("person", "Kazimierz Wolski")]),
+    ("The van Leeuwen, Saskia entry is stale.", [("person", "van Leeuwen, Saskia")]),
+    ("Confirmed with LEOPOLD STEINBACH today.", [("person", "LEOPOLD STEINBACH")]),
+    ("Write to ludmila_p@kyiv-office.ua or to desk7@service.gov.au today.", [("email", "ludmila_p@kyiv-office.ua"), ("email", "desk7@service.gov.au")]),
+    ("Mail: o.bondarenko [at] steppe.com.ua", [("email", "o.bondarenko [at] steppe.com.ua")]),
+    ("alias jean.d'arc+list@rouen.museum, thanks", [("email", "jean.d'arc+list@rouen.museum")]),
+    ("<mailto:F.Lindqvist99@Nordlys.SE>", [("email", "F.Lindqvist99@Nordlys.SE")]),
+    ("Address " + "q" * 120 + "@longhost.org bounced.", [("email", "q" * 120 + "@longhost.org")]),
+    ("Sent to k-tanaka@east.example (at noon).", [("email", "k-tanaka@east.example")]),
+    ("(w.ito@osaka.jp)", [("email", "w.ito@osaka.jp")]),
+    ("reach ana(at)porto.pt quickly", [("email", "ana(at)porto.pt")]),
+    ("x@y.co; z@w.co", [("email", "x@y.co"), ("email", "z@w.co")]),
+    ("Ring 555-0142 before ten.", [("phone", "555-0142")]),
+    ("Landline: +47 22 85 50 50", [("phone", "+47 22 85 50 50")]),
+    ("Call me at (212) 664-7665.", [("phone", "(212) 664-7665")]),
+    ("Tel. 0821 449 20 17, bitte", [("phone", "0821 449 20 17")]),
+    ("mobile 07700 900461", [("phone", "07700 900461")]),
+    ("Téléphone : 04 76 51 28 90", [("phone", "04 76 51 28 90")]),
+    ("her cell +91 98450 12345 is off", [("phone", "+91 98450 12345")]),
+    ("móvil 622 48 31 07", [("phone", "622 48 31 07")]),
+    ("Fax: +61 2 9374 4000 ext. 12", [("phone", "+61 2 9374 4000")]),
+    ("phone=+15035550177;", [("phone", "+15035550177")]),
+    ("Hotline 800-555-0199 is free.", [("phone", "800-555-0199")]),
+    ("Passport number X1234567 was visible.", [("id_number", "X1234567")]),
+    ("SIN is 046 454 286.", [("id_number", "046 454 286")]),
+    ("Aadhaar 1234 5678 9012 in row two", [("id_number", "1234 5678 9012")]),
+    ("His SSN: 219-09-9999", [("id_number", "219-09-9999")]),
+    ("NI number AB 12 34 56 C", [("id_number", "AB 12 34 56 C")]),
+    ("Personalausweis L01X00T47", [("id_number", "L01X00T47")]),
+    ("DNI 12345678Z consta", [("id_number", "12345678Z")]),
+    ("tax number 12/345/67890 is printed", [("id_number", "12/345/67890")]),
+    ("CPF 123.456.789-09", [("id_number", "123.456.789-09")]),
+    ("passport no. K98765432 expired", [("id_number", "K98765432")]),
+    ("Taxpayer ID: 98-7654321", [("id_number", "98-7654321")]),
+    ("Sent to 17 Elm Park Gardens, Leeds.", [("address", "17 Elm Park Gardens")]),
+    ("Via Garibaldi 12, Milano", [("address", "Via Garibaldi 12")]),
+    ("He lives at 221B Baker Street, London.", [("address", "221B Baker Street")]),
+    ("Pick it up at 1600 Amphitheatre Parkway.", [("address", "1600 Amphitheatre Parkway")]),
+    ("wohnt in der Goethestraße 7 a, Weimar", [("address", "Goethestraße 7 a")]),
+    ("Anschrift: Unter den Eichen 5 ist falsch, richtig: Rosenweg 14", [("address", "Rosenweg 14")]),
+    ("Domicile : 8 rue des Lilas, Nantes", [("address", "8 rue des Lilas")]),
+    ("reside en Calle Alcalá 45, Madrid", [("address", "Calle Alcalá 45")]),
+    ("Ship to 9 Wharf Lane; sign there.", [("address", "9 Wharf Lane")]),
+    ("| 400 N Michigan Ave | ok |", [("address", "400 N Michigan Ave")]),
+    ("12 bis avenue de la Libération, Metz", [("address", "12 bis avenue de la Libération")]),
+    ("Morada: Rua das Flores 88, Porto", [("address", "Rua das Flores 88")]),
+    ("Deliver to 350 Fifth Avenue (rear).", [("address", "350 Fifth Avenue")]),
+]
+CLEAN = [
+    "Ticket 4417-2093-55 was merged.", "Build 2.14.903 failed on 17 hosts.", "Invoice 20931-774 is paid.", "The Charlotte Harbour branch opens late.", "Regional Turnover Overview 8831 shows 12 rows.",
+    "See page 14/92.", "Between 2019-03-04 and 2021-11-30 nothing ran.", "The total was 1,203,555.20 in May.", "About 23 people walked down the street.", "Commit 9fe02b1c broke it.",
+    "Employee number E220417 has no manager.", "Work continues on Monday.", "Ping @frontdesk about room 412.", "The Hope Street project starts soon.", "Serial 77120945 is worn out.",
+]
 
 
 @pytest.fixture(scope="module")
 def model():
-    return fit(NAMES, rows=4000)
+    st = NameStatistics()
+    for n in NAMES:
+        st.learn_name(n)
+    for t in TITLES:
+        st.learn_title(t)
+    return fit(st, NAMES, TITLES)
 
 
 def test_trees_learn_and_calibrate():
@@ -25,44 +112,82 @@ def test_trees_learn_and_calibrate():
     assert m.probability(np.zeros((0, 4))).shape == (0,)
 
 
-def test_held_out_quality(model):
-    for kind, (precision, recall) in model.quality.items():
-        assert precision > 0.95 and recall > 0.95, kind
+def test_written_set_is_disjoint():
+    known = {w.lower() for w in pii_training.GIVEN + pii_training.FAMILIES} | {w.lower() for n in NAMES for w in n.split()}
+    for _, spans in WRITTEN:
+        for k, t in spans:
+            if k == "person":
+                assert not known & {w.strip(".,").lower() for w in t.split() if len(w) > 2}, t
 
 
-def test_fresh_sentences(model):
-    given, families = sorted({n.split()[0] for n in NAMES}), sorted({n.split()[1] for n in NAMES})
-    data = labelled_sentences(800, 99, given, families)
-    hits = wrong = missed = 0
-    for (text, gold), spans in zip(data, model.select([t for t, _ in data])):
-        found, want = {(k, a, b) for a, b, k in spans}, set(gold)
-        hits, wrong, missed = hits + len(found & want), wrong + len(found - want), missed + len(want - found)
-    assert hits / (hits + wrong) > 0.96 and hits / (hits + missed) > 0.96
+def test_written_sentences(model):
+    hits, total, false = {}, {}, 0
+    for (text, want), spans in zip(WRITTEN, model.select([t for t, _ in WRITTEN])):
+        got = {(k, text[a:b]) for a, b, k in spans}
+        for k, t in want:
+            total[k] = total.get(k, 0) + 1
+            hits[k] = hits.get(k, 0) + ((k, t) in got)
+        false += len(got - set(want))
+    assert all(hits[k] >= 0.9 * n for k, n in total.items()), (hits, total)
+    assert false <= 0.12 * len(WRITTEN)
 
 
-CASES = [
-    ("Please reach out to April von Velquell (velquell_april@mail.example.org) before the run.", [("person", "April von Velquell"), ("email", "velquell_april@mail.example.org")]),
-    ("Call (415) 555-0101 x80 if it fails again.", [("phone", "(415) 555-0101")]),
-    ("The description field still contains a home address (5064 Sandrell Ave, Apt 3, Nordhafen) and NI number: QQ 11 22 33 A.", [("address", "5064 Sandrell Ave"), ("id_number", "QQ 11 22 33 A")]),
-    ("See ticket 3343-2344-98 and employee id E120774 at the April Gate site.", []),
-]
+def test_clean_sentences(model):
+    assert sum(bool(s) for s in model.select(CLEAN)) <= 1
+
 
+def test_held_out_quality(model):
+    for kind, (precision, recall) in model.quality.items():
+        assert precision > (0.88 if kind == "person" else 0.95) and recall > (0.84 if kind == "person" else 0.95), kind
 
-@pytest.mark.parametrize("text, want", CASES)
-def test_sentences(model, text, want):
-    assert [(k, text[a:b]) for a, b, k in model.select([text])[0]] == want
+
+@pytest.mark.parametrize("text", ["Call (415) 555-0101 x80 if it fails again.", "Tilda Quandrell left; bruno vintermoor stayed."])
+def test_directory_names_in_any_case(model, text):
+    want = {"(415) 555-0101"} if "415" in text else {"Tilda Quandrell", "bruno vintermoor"}
+    assert {text[a:b] for a, b, _ in model.select([text])[0]} == want
+
+
+def test_statistics_of_all_names(spark, model):
+    rows = [(n,) for n in NAMES] + [("QUANDRELL, Tilda",), (None,), ("Single",), (NAMES[0],), ("",)]
+    names = spark.createDataFrame(rows, "n string")
+    titles = spark.createDataFrame([(t,) for t in TITLES] + [(None,), ("",), ("42",)], "t string")
+    got = name_statistics(names, "n", titles, "t")
+    want = NameStatistics()
+    for n in [*NAMES, "Tilda Quandrell"]:
+        want.learn_name(n)
+    for t in TITLES:
+        want.learn_title(t)
+    for k in KINDS:
+        assert got.counts[k] == want.counts[k] and got.totals[k] == want.totals[k], k
+    assert got.lift("given", "tilda") > 3 and got.lift("given", "absence") == 0
+    assert 0 <= bucket("ß") < BUCKETS
+    assert name_statistics(names.limit(0), "n").lift("given", "tilda") == 0
 
 
 def test_operator(spark, model):
-    rows = [(i, t, "x") for i, (t, _) in enumerate(CASES)] + [(10, None, "x"), (11, "", "x"), (None, CASES[0][0], "x"), (12, CASES[1][0] * 2, "x"), (13, "word " * 200_000, "x")]
+    text = "Call (415) 555-0101 x80 or Tilda Quandrell."
+    rows = [(1, text, "x"), (3, CLEAN[0], "x"), (10, None, "x"), (11, "", "x"), (None, text, "x"), (12, text + " " + text, "x"), (13, "word " * 200_000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii_kind string")
     got = sorted((r.doc_id, r.pii_kind, r.pii_text) for r in find_pii(df, "doc_id", "text", model).collect())
-    assert got == sorted([(i, k, t) for i, (_, w) in enumerate(CASES) for k, t in w] + [(12, "phone", "(415) 555-0101")])
+    assert got == sorted((i, k, t) for i in (1, 12) for k, t in [("phone", "(415) 555-0101"), ("person", "Tilda Quandrell")])
     clean = {r.doc_id: r for r in redact(df, "doc_id", "text", model).collect()}
-    assert clean[1].text == "Call [PHONE] x80 if it fails again." and clean[12].n_pieces == 2 and clean[10].text is None and clean[3].text == CASES[3][0]
+    assert clean[1].text == "Call [PHONE] x80 or [PERSON]." and clean[12].n_pieces == 4 and clean[10].text is None and clean[3].text == CLEAN[0]
     assert find_pii(df.limit(0), "doc_id", "text", model).count() == 0
+    assert sample(df, "text", 2) == sorted(sample(df, "text", 2)) and len(sample(df, "text", 2)) == 2
 
 
 def test_candidates_of_odd_texts(model):
-    for t in ("İ" * 50 + " a@b.example", "@", "(((", "1" * 5000, "A. " * 3000, "+44 " * 2000):
-        candidates(t, model.lexicon)
+    for t in ("İ" * 50 + " a@b.example", "@", "(((", "1" * 5000, "A. " * 3000, "+44 " * 2000, "Aa " * 3000, "a, " * 3000, "Straße 1 " * 500):
+        k = NameKnowledge(NameStatistics())
+        codes = k.codes(t.split())
+        candidates(t, codes)
+        People(k).collect(0, t, codes, t.split())
+
+
+def test_result_does_not_depend_on_order(model):
+    texts = [t for t, _ in WRITTEN]
+    assert model.select(texts[::-1])[::-1] == model.select(texts)
+
+
+def test_sentences_are_deterministic():
+    assert labelled_sentences(50, 3, NAMES, TITLES) == labelled_sentences(50, 3, NAMES, TITLES)
