@@ -1,51 +1,104 @@
 """Repeated consecutive events collapsed into one event each, by pointer doubling (p5).
 
-Sequences may be arbitrarily long, so none is ever sorted as a whole: events are cut into blocks of time per
-sequence, and the events of the last moments of a block are also given to the next block as context. As a
-link spans at most ``max_gap``, every event then sees its true predecessor inside its own block. Matching
-events point to their predecessor; inside a block these pointers are followed by a running sum, which leaves
-one piece per run and block. Pieces that open with a match point to the piece before, and self-joins
-replace pointers by their targets' pointers until all reach a run's start: a logarithmic number of rounds
-over the pieces that cross blocks. In one round no two open pointers of a run share a target, so these
-joins have no hot keys however long a run is.
+Sequences may be arbitrarily long, so none is ever sorted or walked as a whole: all events are put into one
+order (sequence, time, tie) by range partitioning, so a block holds about as many events as any other, whatever
+the sequences' lengths. Inside its block every event is held against the one before it; the blocks' first events
+are held against the last ones of the blocks before. Each matching event then points to its predecessor, and
+self-joins replace pointers by their targets' pointers until all reach the start of their run: a logarithmic
+number of rounds. In one round no two open pointers share a target, so these joins have no hot keys however
+long a run is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.storage import Workspace
 
+#: Events in one block of the common order, about.
+BLOCK_EVENTS = 1_000_000
+
+_LINK = [T.StructField("id", T.LongType()), T.StructField("ptr", T.LongType()), T.StructField("at", T.LongType()), T.StructField("before", T.LongType())]
+
 
-def run_pieces(events: DataFrame, sequence: list[str], micros: str, tie: str, same: list[str], max_gap: int, blocks_of: int = 48) -> DataFrame:
-    """Pieces of runs: first_id, last_id, n, first_at, last_at, link (last id of the piece before, or null), late.
+def links(ws: Workspace, events: DataFrame, keys: list[str], same: list[str], max_gap: int) -> DataFrame:
+    """(id, ptr, at, before): every event that goes on with its predecessor's run, the predecessor and both times.
 
-    ``late`` pieces end so near to their block's end that the next block may go on with them. Pieces of one
-    event that neither have a link nor are late are no part of any run and are left out.
+    ``events`` is written and holds ``keys`` (the sequence), ``at``, ``id`` and ``same``, all without nulls.
     """
-    block = (max_gap + 1) * blocks_of
-
-    def block_of(at: Column) -> Column:
-        return ((at - F.pmod(at, F.lit(block))) / F.lit(block)).cast("long")
-
-    home, spill = block_of(F.col(micros)), block_of(F.col(micros) + F.lit(max_gap + 1))
-    seq = [f"q{i}" for i in range(len(sequence))]
-    tagged = events.select(
-        *[F.col(c).alias(q) for q, c in zip(seq, sequence)], F.col(micros).alias("at"), F.col(tie).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(same)],
-        home.alias("home"), F.explode(F.when(spill > home, F.array(home, spill)).otherwise(F.array(home))).alias("blk"),
-    )
-    w = Window.partitionBy(*seq, "blk").orderBy("at", "id")
-    equal: Column = F.col("at") - F.lag("at").over(w) <= max_gap
-    for i in range(len(same)):
-        equal = equal & (F.col(f"k{i}") == F.lag(f"k{i}").over(w))
-    step = tagged.withColumns({"m": F.coalesce(equal, F.lit(False)), "p": F.lag("id").over(w), "ph": F.lag("home").over(w)})
-    own = step.where("home = blk").withColumn("across", F.col("m") & (F.col("ph") != F.col("blk")))
-    piece = own.withColumn("piece", F.sum(F.when(F.col("m") & ~F.col("across"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = piece.groupBy(*seq, "blk", "piece").agg(F.min(F.struct("at", "id")).alias("a"), F.max(F.struct("at", "id")).alias("z"), F.count("*").alias("n"), F.max(F.when(F.col("across"), F.col("p"))).alias("link"))
-    late = F.col("z.at") + F.lit(max_gap) >= (F.col("blk") + 1) * F.lit(block)
-    out = ends.select(F.col("a.id").alias("first_id"), F.col("z.id").alias("last_id"), "n", F.col("a.at").alias("first_at"), F.col("z.at").alias("last_at"), "link", late.alias("late"))
-    return out.where("n > 1 or link is not null or late")
+    n = events.count()
+    blocks = max(events.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK_EVENTS))
+    names = [*keys, "at", "id", *same]
+    equal = [*keys, *same]
+
+    def step(rows: pa.Table) -> pa.Table:
+        """The links among rows in order; the first row is context only."""
+        at, ids = rows["at"].to_numpy(), rows["id"].to_numpy()
+        ok = at[1:] - at[:-1] <= max_gap
+        for c in equal:
+            col = rows[c]
+            ok &= pc.equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+        k = np.flatnonzero(ok)
+        return pa.table({"id": ids[k + 1], "ptr": ids[k], "at": at[k + 1], "before": at[k]})
+
+    schema = T.StructType([*_LINK, T.StructField("block", T.IntegerType()), T.StructField("edge", T.IntegerType()), T.StructField("row", events.select(*names).schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId()
+        last: pa.Table | None = None
+
+        def edge(row: pa.Table, which: int) -> pa.RecordBatch:
+            none = pa.nulls(1, pa.int64())
+            value = pa.array([row.to_pylist()[0]], type=row_type)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array([block], pa.int32()), pa.array([which], pa.int32()), value], names=[*[f.name for f in _LINK], "block", "edge", "row"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]).select(names).combine_chunks()
+            row_type = pa.struct([pa.field(f.name, f.type) for f in t.schema])
+            if last is None:
+                yield edge(t.slice(0, 1), 0)
+            out = step(pa.concat_tables([last, t]).combine_chunks() if last is not None else t)
+            m = out.num_rows
+            if m:
+                cols = [out[c].combine_chunks() for c in ("id", "ptr", "at", "before")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(m, block, dtype=np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, row_type)], names=[*[f.name for f in _LINK], "block", "edge", "row"])
+            last = t.slice(t.num_rows - 1, 1)
+        if last is not None:
+            yield edge(last, 1)
+
+    order = [*keys, "at", "id"]
+    found = ws.write(events.select(*names).repartitionByRange(blocks, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "links")
+    inner = found.where("edge is null").select("id", "ptr", "at", "before")
+    # two rows per block, in the order of the blocks
+    edges = found.where("edge is not null").withColumn("prev", F.lag("row").over(Window.orderBy("block", "edge"))).where("edge = 0 and prev is not null")
+    goes_on = F.col("row.at") - F.col("prev.at") <= F.lit(max_gap)
+    for c in equal:
+        goes_on = goes_on & (F.col(f"row.{c}") == F.col(f"prev.{c}"))
+    across = edges.where(goes_on).select(F.col("row.id").alias("id"), F.col("prev.id").alias("ptr"), F.col("row.at").alias("at"), F.col("prev.at").alias("before"))
+    return inner.unionByName(across)
+
+
+def run_starts(ws: Workspace, pointers: DataFrame) -> DataFrame:
+    """(id, ptr): every pointer of ``pointers`` (id, ptr; no cycles) doubled until it reaches an id that has none itself."""
+    ids = pointers.select(F.col("id").alias("ptr"), F.lit(False).alias("done"))
+    current = ws.write(pointers.join(ids, "ptr", "left").select("id", "ptr", F.coalesce("done", F.lit(True)).alias("done")), "pointers")
+    while not current.where("not done").isEmpty():
+        onward = current.select(F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("done").alias("d2"))
+        moved = current.where("not done").select("id", "ptr").join(onward, "ptr").select("id", F.col("p2").alias("ptr"), F.col("d2").alias("done"))
+        longer = ws.write(current.where("done").unionByName(moved), "pointers")
+        ws.drop(current)
+        current = longer
+    return current.select("id", "ptr")
 
 
 def collapse_runs(events: DataFrame, sequence: list[str], micros: str, tie: str, same: list[str], max_gap: int) -> DataFrame:
@@ -58,21 +111,11 @@ def collapse_runs(events: DataFrame, sequence: list[str], micros: str, tie: str,
     """
     ws = Workspace(events.sparkSession, "runs-of-events")
     used = [*sequence, micros, tie, *same]
-    clean = events.select(*used).where(" and ".join(f"`{c}` is not null" for c in used))
-    pieces = ws.write(run_pieces(clean, sequence, micros, tie, same, max_gap), "pieces")
-    links = pieces.where("link is not null").select(F.col("last_id").alias("id"), F.col("link").alias("ptr"))
-    # a pointer is done when its target is the first piece of its run, which has no pointer itself
-    targets = links.select(F.col("id").alias("ptr"), F.lit(False).alias("done"))
-    current = ws.write(links.join(targets, "ptr", "left").select("id", "ptr", F.coalesce("done", F.lit(True)).alias("done")), "pointers")
-    while not current.where("not done").isEmpty():
-        onward = current.select(F.col("id").alias("ptr"), F.col("ptr").alias("p2"), F.col("done").alias("d2"))
-        moved = current.where("not done").select("id", "ptr").join(onward, "ptr").select("id", F.col("p2").alias("ptr"), F.col("d2").alias("done"))
-        longer = ws.write(current.where("done").unionByName(moved), "pointers")
-        ws.drop(current)
-        current = longer
-    whole = pieces.where("link is null and not late").select("first_id", F.col("n").alias("run_count"), F.col("first_at").alias("first_micros"), F.col("last_at").alias("last_micros"))
-    root = current.select(F.col("id").alias("last_id"), F.col("ptr").alias("root"))
-    parts = pieces.where("link is not null or late").join(root, "last_id", "left").withColumn("root", F.coalesce("root", "last_id"))
-    joined = parts.groupBy("root").agg(F.sum("n").alias("run_count"), F.min(F.struct("first_at", "first_id")).alias("a"), F.max("last_at").alias("last_micros"))
-    across = joined.where("run_count > 1").select(F.col("a.first_id").alias("first_id"), "run_count", F.col("a.first_at").alias("first_micros"), "last_micros")
-    return whole.unionByName(across)
+    seq, eq = [f"q{i}" for i in range(len(sequence))], [f"k{i}" for i in range(len(same))]
+    clean = events.where(" and ".join(f"`{c}` is not null" for c in used)).select(*[F.col(c).alias(q) for c, q in zip(sequence, seq)], F.col(micros).cast("long").alias("at"), F.col(tie).cast("long").alias("id"), *[F.col(c).alias(k) for c, k in zip(same, eq)])
+    found = links(ws, ws.write(clean, "events"), seq, eq, max_gap)
+    starts = run_starts(ws, found.select("id", "ptr"))
+    # the first link of a run knows when its start was; members are counted by partial sums, so long runs are no hot keys
+    members = found.join(starts.withColumnRenamed("ptr", "root"), "id")
+    runs = members.groupBy("root").agg(F.count("*").alias("n"), F.min("before").alias("first_micros"), F.max("at").alias("last_micros"))
+    return runs.select(F.col("root").alias("first_id"), (F.col("n") + 1).alias("run_count"), "first_micros", "last_micros")

@@ -38,3 +38,22 @@ def test_against_the_sequential_rule(spark, seed, gap):
 def test_empty(spark):
     df = spark.createDataFrame([], "who string, at long, id long, k string")
     assert collapse_runs(df, ["who"], "at", "id", ["k"], 10).count() == 0
+
+
+def test_a_requester_with_a_third_of_all_events_and_all_times_tied(spark):
+    rows = [("hot", 7, k, "z") for k in range(3000)] + [(f"u{k % 600}", 1000 * k, 10_000 + k, "z" if k % 3 else "y") for k in range(6000)]
+    df = spark.createDataFrame(rows, "who string, at long, id long, k string")
+    got = {tuple(x) for x in collapse_runs(df, ["who"], "at", "id", ["k"], 600_000).collect()}
+    assert got == brute(rows, 600_000) and (0, 3000, 7, 7) in got
+
+
+def test_every_matching_event_is_linked(spark, monkeypatch):
+    from ledgerloom.llm import runs_of_events as op
+
+    monkeypatch.setattr(op, "BLOCK_EVENTS", 50)  # many blocks: links across their borders
+    r = random.Random(4)
+    rows = sorted((r.choice("ab"), r.randrange(4000), i, r.choice("xy")) for i in range(800))
+    df = spark.createDataFrame(rows, "q0 string, at long, id long, k0 string")
+    ws = op.Workspace(spark, "test")
+    got = {(x["id"], x["ptr"]) for x in op.links(ws, ws.write(df, "events"), ["q0"], ["k0"], 20).collect()}
+    assert got == {(b[2], a[2]) for a, b in zip(rows, rows[1:]) if a[0] == b[0] and a[3] == b[3] and b[1] - a[1] <= 20}
