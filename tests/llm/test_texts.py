@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm.leaks import leaked_passages, longest_run, near_passages
+from ledgerloom.llm.leaks import PassageIndex, leaked_passages, near_passages
 from ledgerloom.llm.packing import pack, plan, token_counts
 from ledgerloom.llm.words import words
 
@@ -14,6 +14,15 @@ def test_words():
     assert words(None) == [] == words("") == words("... _ !")
 
 
+def longest_run(doc, item, shift):
+    best = run = 0
+    for k, w in enumerate(item):
+        p = k + shift
+        run = run + 1 if 0 <= p < len(doc) and doc[p] == w else 0
+        best = max(best, run)
+    return best
+
+
 def brute(docs, items, n):
     out = {}
     for d, t in docs:
@@ -51,6 +60,28 @@ def test_leaks_against_every_shift(spark):
     assert (103, 0) in near
 
 
+def test_index_outlives_queries_and_grows(spark, tmp_path, monkeypatch):
+    from ledgerloom.llm import leaks
+
+    r = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(30)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(k, text(20)) for k in range(6)]
+    docs = [(k, text(10) + " " + " ".join(words(items[k % 6][1])[3 : 3 + 10 + k % 5]) + " " + text(k % 30)) for k in range(80)]
+    ii = spark.createDataFrame(items, "item_id long, item_text string")
+    path = f"file://{tmp_path}/index"
+    index = PassageIndex.build(spark.createDataFrame(docs[:50], "doc_id long, text string"), "doc_id", "text", path)
+    assert {(x.doc_id, x.item_id): x.n_words for x in leaked_passages(index, "", "", ii, "item_id", "item_text").collect()} == brute(docs[:50], items, 12)
+    PassageIndex.open(spark, path).append(spark.createDataFrame(docs[50:], "doc_id long, text string"), "doc_id", "text")
+    monkeypatch.setattr(leaks, "MAX_BLOCK_WORDS", 1)
+    again = PassageIndex.open(spark, path)
+    assert {(x.doc_id, x.item_id): x.n_words for x in leaked_passages(again, "", "", ii, "item_id", "item_text").collect()} == brute(docs, items, 12)
+    t = again.table().where("term is not null").collect()
+    assert sum(x.n for x in t) == sum(len(words(x)) for _, x in docs)
+    with pytest.raises(Exception):
+        PassageIndex.build(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", path)
+
+
 def test_near_words_wherever_they_stand(spark):
     item = "alpha beta gamma delta epsilon zeta"
     gap = lambda k: " ".join(["filler"] * k)
