@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
+
+from ledgerloom.functions.names import INVISIBLE, UNICODE_SPACE
 
 # Characters that part values, quotes and their closers, list marks.
 SEPARATORS = ",;|\n\t•·"
@@ -95,15 +98,30 @@ def _scan(s: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def spans(cell: str, most: int) -> list[tuple[int, int, str]]:
-    """(first, last, text) of runs of two to ``most`` unquoted pieces with the separators between them."""
+_LEAD = re.compile(f"{UNICODE_SPACE}*((?:(?!{UNICODE_SPACE})[^,;|•·])*)")
+_INVISIBLE = str.maketrans("", "", INVISIBLE)
+#: Buckets of first words, so that the table of them is bounded whatever the number of names.
+BUCKETS = 1 << 16
+
+
+def first_bucket(text: str) -> int:
+    """Bucket of the first word of a text's name key; -1 if it is not ASCII."""
+    word = _LEAD.match(text.translate(_INVISIBLE)).group(1).casefold()
+    return zlib.crc32(word.encode()) % BUCKETS if word.isascii() else -1
+
+
+def spans(cell: str, most: dict[int | None, int]) -> list[tuple[int, int, str]]:
+    """(first, last, text) of runs of two or more unquoted pieces, with the separators between them, that may be a name.
+
+    ``most`` tells how many pieces a name has at most whose first word falls into a bucket, and under None for all others.
+    """
     s = tidy(cell)
     pieces = _scan(s)
     out = []
-    for a in range(len(pieces)):
-        if pieces[a][3]:
+    for a in range(len(pieces) - 1):
+        if pieces[a][3] or pieces[a + 1][3]:
             continue
-        for b in range(a + 1, min(len(pieces), a + most)):
+        for b in range(a + 1, min(len(pieces), a + most.get(first_bucket(s[pieces[a][1] : pieces[a][2]]), most.get(None, 0)))):
             if pieces[b][3]:
                 break
             out.append((a, b, s[pieces[a][1] : pieces[b][2]].strip(_SPACE)))

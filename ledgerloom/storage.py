@@ -39,6 +39,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def tables_below(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` whose write has succeeded."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+
 class Workspace:
     """Tables of one operator run. ``write`` replaces the lineage; ``drop`` frees a superseded round."""
 
@@ -46,7 +55,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._written: list[tuple[DataFrame, str]] = []
         atexit.register(self._at_exit)
 
     def _at_exit(self) -> None:
@@ -63,15 +72,15 @@ class Workspace:
         schema = df.schema
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
-        self._paths[id(out)] = path
+        self._written.append((out, path))
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables written here that no later step reads."""
         for df in frames:
-            path = self._paths.pop(id(df), None)
-            if path:
-                _delete(self.spark, path)
+            for entry in [e for e in self._written if e[0] is df]:
+                self._written.remove(entry)
+                _delete(self.spark, entry[1])
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -147,3 +147,10 @@ def test_pair_model(spark, tmp_path):
     assert abs(again.probability(__import__("numpy").array([[0.9, 0.0]]))[0] - model.probability(__import__("numpy").array([[0.9, 0.0]]))[0]) < 1e-12
     with pytest.raises(ValueError):
         pair_model.load(path, ["z", "x"])
+
+
+def test_looked_up_with_hot_keys(spark):
+    big = spark.createDataFrame([(k, 1 if k % 3 else k) for k in range(300)], "u long, key long")
+    small = spark.createDataFrame([(1, "hot", 200), (3, "c", 1), (6, None, 1)], "key long, v string, n long")
+    got = {r.u: r.v for r in looked_up(big, small, "key", "u", "n", limit=50, salts=4).collect()}
+    assert got == {k: "hot" if k % 3 else "c" if k == 3 else None for k in range(300)}

@@ -53,3 +53,26 @@ def test_operator(spark):
     assert out == [(1, 1, "Budget, Unposted 3"), (1, 2, "B"), (2, 1, "Budget"), (2, 2, "Unposted 4")] + [(5, 1, "B")] * 2 + [(5, 2, "B")] * 2
     assert packed_values(cells, "cell", known.limit(0), "report_name").where("id = 1").count() == 3
     assert packed_values(cells.limit(0), "cell", known, "report_name").count() == 0
+
+
+def test_a_dirty_name_costs_only_cells_that_begin_like_it():
+    from ledgerloom.functions.packed import first_bucket, spans
+
+    cell = "; ".join(f"Name {k}" for k in range(300)) + "; Zulu; Alpha"
+    most = {first_bucket("zulu, alpha"): 1000}
+    assert [(a, b, v) for a, b, v in spans(cell, most)] == [(300, 301, "Zulu; Alpha")]
+    assert first_bucket("\u200b\xa0FOO, bar") == first_bucket("foo") and first_bucket("Übersicht, neu") == -1 and first_bucket("\u212aelvin; x") == first_bucket("kelvin")
+
+
+def test_own_key_and_hot_cells(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators.packed_values import packed_values
+
+    known = spark.createDataFrame([("Sales, North",), ("Übersicht; alt",), (None,), ("x" + ", y" * 400,)], "name string")
+    rows = [(k, "sales, NORTH; other" if k % 3 else "übersicht; ALT, sales") for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, cell string")
+    for key in (None, lambda c: F.lower(F.btrim(c))):
+        out = packed_values(df, "cell", known, "name", *([key] if key else []))
+        got = sorted((r.id, r.value_pos, r.value) for r in out.collect())
+        assert got == sorted((k, p + 1, v) for k, c in rows for p, v in enumerate(["sales, NORTH", "other"] if k % 3 else ["übersicht; ALT", "sales"]))
