@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.graph import both_ways, canonical_edges, contract, relabel
+from ledgerloom.operators.lookup import looked_up
 from ledgerloom.storage import Workspace
 
 
@@ -64,4 +65,5 @@ def match_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
         labels = giant.join(top, "ptr", "left").select("id", F.coalesce("top", "ptr").alias("ptr")).unionByName(small.where(F.col("id") != F.lit(root)))
     labels = ws.write(labels, "labels")
     sizes = labels.groupBy("ptr").agg(F.count("*").alias("member_count"))
-    return labels.join(sizes, "ptr").select("id", F.col("ptr").alias("group_id"), "member_count")
+    sizes = sizes.withColumn("n", F.col("member_count"))
+    return looked_up(labels, sizes, "ptr", "id", "n").select("id", F.col("ptr").alias("group_id"), "member_count")

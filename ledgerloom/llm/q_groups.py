@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import TRUTHY, field_set, squeeze
 from ledgerloom.llm.match_groups import match_groups
-from ledgerloom.llm.related_splits import SplitStore, split_pairs
+from ledgerloom.llm.related_splits import QUARANTINE, SplitStore, split_pairs
 from ledgerloom.llm.survivors import keepers, survivors
 from ledgerloom.plans import sql
 from ledgerloom.plans.tables import current_reports, table
@@ -27,9 +27,12 @@ def _splits(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "labeled_pairs").select("pair_id", whole_number(F.col("report_uid_a")).alias("a"), whole_number(F.col("report_uid_b")).alias("b"), "reviewed_at")
     ws = Workspace(spark, "splits")
     pairs = ws.write(raw.where("a is not null and b is not null"), "input")
-    store = SplitStore(ws)
+    store = SplitStore.open(spark, f"{ws.root}/store")
     early = F.col("reviewed_at") < F.lit(FIRST_LOAD_ENDS).cast("timestamp")
     store.ingest(pairs.where(early), "a", "b")
+    store.commit()
+    # a later session goes on from what is kept
+    store = SplitStore.open(spark, f"{ws.root}/store")
     store.ingest(pairs.where(~F.coalesce(early, F.lit(False))), "a", "b")
     return split_pairs(pairs, "pair_id", "a", "b", store.records)
 
@@ -98,7 +101,17 @@ def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("gid", "dup_group_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_survivors": p6_survivors}
+def p1_split_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the splits: pairs and groups covered, and reports that stand in two splits (none)."""
+    pairs = _splits(spark, d)
+    ends = table(spark, d, "labeled_pairs").select("pair_id", F.explode(F.array(whole_number(F.col("report_uid_a")), whole_number(F.col("report_uid_b")))).alias("uid"))
+    placed = ends.join(pairs, "pair_id").where(F.col("split") != QUARANTINE).select("uid", "split").distinct()
+    parted = placed.groupBy("uid").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("v")).select(F.lit("parted_reports").alias("figure"), "v")
+    counts = pairs.agg(F.count("*").alias("n_pairs"), F.countDistinct("group_uid").alias("n_groups"), F.count_if(F.col("split").isNull()).alias("unplaced"))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).alias("v")) for c in counts.columns])).alias("r")).select("r.*").unionByName(parted)
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_split_checks": p1_split_checks, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_survivors": p6_survivors}
 
 _UID = "CAST(CASE WHEN x{0} = floor(x{0}) THEN x{0} END AS BIGINT)"
 _PAIRS = (
@@ -110,11 +123,19 @@ _MATCHED = """(SELECT a, b FROM (SELECT least(report_uid_a, report_uid_b) AS a,
 _REACH = "r AS (SELECT DISTINCT u AS node, u AS c FROM e UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.node WHERE r.c < e.v), g AS (SELECT node, min(c) AS c FROM r GROUP BY node)"
 _AREAS = r"len(list_distinct(list_filter(list_transform(regexp_split_to_array(coalesce(areas_used, ''), '[,;|\n\r]+'), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))), lambda y: y <> '')))"
 
+_KEYS = f"""coalesce(overall_score, total_risk_score) NULLS LAST, coalesce(effective_last_run_date, last_run_date) DESC NULLS LAST,
+      CASE recurrence_classification WHEN 'Strong' THEN 0 WHEN 'Moderate' THEN 1 WHEN 'No Recurring Pattern' THEN 2 ELSE 3 END, coalesce(distinct_requesters, 0) DESC, CASE WHEN field_extraction_status = 'Matched' THEN len({sql.field_list('report_fields')}) ELSE 0 END DESC, {_AREAS} DESC,
+      CASE WHEN lower(trim(shared)) IN ('yes','y','true','1','t') THEN 0 ELSE 1 END, last_updated DESC NULLS LAST, report_uid"""
+_GROUPED = f"(SELECT *, count(*) OVER (PARTITION BY gid) AS n, row_number() OVER (PARTITION BY gid ORDER BY {_KEYS}) AS k FROM (SELECT *, upper(trim(dup_group_id)) AS gid FROM {sql.CURRENT}) WHERE gid <> '')"
+_TEXTS = ["report_name", "owner", "description", "category", "data_source", "report_fields", "areas_used", "shared", "recurrence_classification"]
+_SURVIVOR = ", ".join([f"arg_min({c}, k) FILTER (WHERE {c} IS NOT NULL AND lower({sql.squeeze(c)}) NOT IN ({sql.TOKENS})) AS {c}" for c in _TEXTS] + [f"arg_min({c}, k) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("last_updated", "effective_last_run_date")])
+
 ORACLES = {
     "p1_found": f"WITH RECURSIVE p AS {_PAIRS}, e AS (SELECT a AS u, b AS v FROM p WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM p WHERE a IS NOT NULL AND b IS NOT NULL), {_REACH} SELECT pair_id, g.c AS group_uid FROM p JOIN g ON p.a = g.node WHERE p.b IS NOT NULL",
     "p4_found": f"WITH RECURSIVE p AS {_MATCHED}, e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), {_REACH} SELECT node AS report_uid, c AS group_uid FROM g",
     "p4_groups": f"WITH RECURSIVE p AS {_MATCHED}, e AS (SELECT a AS u, b AS v FROM p UNION SELECT b, a FROM p), {_REACH} SELECT node AS report_uid, c AS dup_group_id, count(*) OVER (PARTITION BY c) AS member_count FROM g",
-    "p6_found": f"""SELECT gid AS dup_group_id, report_uid AS keeper_uid FROM (SELECT *, count(*) OVER (PARTITION BY gid) AS n, row_number() OVER (PARTITION BY gid ORDER BY coalesce(overall_score, total_risk_score) NULLS LAST, coalesce(effective_last_run_date, last_run_date) DESC NULLS LAST,
-      CASE recurrence_classification WHEN 'Strong' THEN 0 WHEN 'Moderate' THEN 1 WHEN 'No Recurring Pattern' THEN 2 ELSE 3 END, coalesce(distinct_requesters, 0) DESC, CASE WHEN field_extraction_status = 'Matched' THEN len({sql.field_list('report_fields')}) ELSE 0 END DESC, {_AREAS} DESC,
-      CASE WHEN lower(trim(shared)) IN ('yes','y','true','1','t') THEN 0 ELSE 1 END, last_updated DESC NULLS LAST, report_uid) AS k FROM (SELECT *, upper(trim(dup_group_id)) AS gid FROM {sql.CURRENT}) WHERE gid <> '') WHERE n > 1 AND k = 1""",
+    "p1_split_checks": f"""WITH RECURSIVE p AS {_PAIRS}, e AS (SELECT a AS u, b AS v FROM p WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM p WHERE a IS NOT NULL AND b IS NOT NULL), {_REACH}, t AS (SELECT g.c FROM p JOIN g ON p.a = g.node WHERE p.b IS NOT NULL)
+      SELECT 'n_pairs' AS figure, count(*) AS v FROM t UNION ALL SELECT 'n_groups', count(DISTINCT c) FROM t UNION ALL SELECT 'unplaced', 0 UNION ALL SELECT 'parted_reports', 0""",
+    "p6_found": f"SELECT gid AS dup_group_id, report_uid AS keeper_uid FROM {_GROUPED} WHERE n > 1 AND k = 1",
+    "p6_survivors": f"SELECT gid AS dup_group_id, count(*) AS member_count, arg_min(report_uid, k) AS keeper_uid, {_SURVIVOR} FROM {_GROUPED} WHERE n > 1 GROUP BY gid",
 }

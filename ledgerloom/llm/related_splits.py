@@ -9,12 +9,13 @@ pairs that touch them belong to no split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.graph import canonical_edges, contract, relabel
 from ledgerloom.llm.ranks import ranked_within
-from ledgerloom.storage import Workspace
+from ledgerloom.operators.lookup import looked_up
+from ledgerloom.storage import Workspace, tables_below
 
 PROPORTIONS = {"train": 0.70, "validation": 0.15, "test": 0.15}
 QUARANTINE = "quarantine"
@@ -52,15 +53,41 @@ def plan_by_size(sizes: list[tuple[int, int]], proportions: dict[str, float], ha
     return out
 
 
+_RECORDS = "uid long, root long, split string"
+
+
 class SplitStore:
-    """The persisted component table: (uid, root, split). ``ingest`` takes one batch of related pairs."""
+    """The persisted component table: (uid, root, split). ``ingest`` takes one batch of related pairs, ``commit`` keeps the result.
+
+    A store lives below ``path`` in numbered versions, each a whole table. A version counts once its write has
+    succeeded (the marker is written last, in one step), so a session that dies leaves the last version as it
+    was; an unfinished version is written over by the next commit. ``open`` reads the newest version. Without a
+    path the store ends with the session.
+    """
 
-    def __init__(self, ws: Workspace, proportions: dict[str, float] | None = None, records: DataFrame | None = None):
-        self.ws, self.spark = ws, ws.spark
+    def __init__(self, ws: Workspace, proportions: dict[str, float] | None = None, records: DataFrame | None = None, path: str | None = None):
+        self.ws, self.spark, self.path = ws, ws.spark, path
         self.proportions = proportions or PROPORTIONS
         if abs(sum(self.proportions.values()) - 1) > 1e-9 or min(self.proportions.values()) < 0:
             raise ValueError("proportions must be positive and sum to 1")
-        self.records = records if records is not None else ws.write(self.spark.createDataFrame([], "uid long, root long, split string"), "records")
+        self.records = records if records is not None else ws.write(self.spark.createDataFrame([], _RECORDS), "records")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, proportions: dict[str, float] | None = None) -> SplitStore:
+        """The store at ``path``, empty if there is none."""
+        done = [n for n in tables_below(spark, path) if n.startswith("v")]
+        records = spark.read.schema(_RECORDS).parquet(f"{path}/{max(done)}") if done else None
+        return cls(Workspace(spark, "splits"), proportions, records, path)
+
+    def commit(self) -> int:
+        """Keep the records as a new version; returns its number."""
+        if self.path is None:
+            raise ValueError("a store without a path can't be kept")
+        done = [n for n in tables_below(self.spark, self.path) if n.startswith("v")]
+        version = 1 + max([0, *(int(n[1:]) for n in done)])
+        self.records.write.mode("overwrite").parquet(f"{self.path}/v{version:08d}")
+        self.records = self.spark.read.schema(_RECORDS).parquet(f"{self.path}/v{version:08d}")
+        return version
 
     def ingest(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
         """Add the pairs' links; return the new record table. Pairs with a missing end link nothing."""
@@ -72,8 +99,9 @@ class SplitStore:
         edges = ws.write(relabel(canonical_edges(present, a, b), old), "root-edges")
         merged = ws.write(contract(ws, edges, full_jumps=True), "merges")
         known = self.records.unionByName(uids.join(self.records, "uid", "left_anti").select("uid", F.col("uid").alias("root"), F.lit(None).cast("string").alias("split")))
-        top = merged.select(F.col("id").alias("root"), F.col("ptr").alias("top"))
-        moved = ws.write(known.join(top, "root", "left").select("uid", F.coalesce("top", "root").alias("root"), "split"), "moved")
+        held_by = self.records.groupBy("root").agg(F.count("*").alias("n"))
+        top = merged.select(F.col("id").alias("root"), F.col("ptr").alias("top")).join(held_by, "root", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        moved = ws.write(looked_up(known, top, "root", "uid", "n").select("uid", F.coalesce("top", "root").alias("root"), "split"), "moved")
         # one row per component: how many records each split holds there (quarantined records don't vote)
         votes = moved.groupBy("root").agg(F.count("*").alias("size"), *[F.count_if(F.col("split") == k).alias(f"n_{k}") for k in sorted(self.proportions)])
         held = F.array_max(F.array(*[F.struct(F.col(f"n_{k}").alias("n"), F.lit(k).alias("k")) for k in sorted(self.proportions)]))
@@ -83,9 +111,9 @@ class SplitStore:
         histogram = [(r["size"], r["n"]) for r in fresh.groupBy("size").agg(F.count("*").alias("n")).collect()]
         rows = plan_by_size(histogram, self.proportions, have)
         plan = self.spark.createDataFrame(rows, "size long, split string, lo long, hi long")
-        placed = ranked_within(fresh, "size", "root").join(plan, "size").where("_rank >= lo and _rank < hi").select("root", F.col("split").alias("given"))
-        chosen = comps.where("held is not null").select("root", F.col("held").alias("given")).unionByName(placed)
-        final = moved.join(chosen, "root").select("uid", "root", F.when(F.col("split").isNull() | (F.col("split") == F.col("given")), F.col("given")).otherwise(F.lit(QUARANTINE)).alias("split"))
+        placed = ranked_within(fresh, "size", "root").join(plan, "size").where("_rank >= lo and _rank < hi").select("root", F.col("split").alias("given"), "size")
+        chosen = comps.where("held is not null").select("root", F.col("held").alias("given"), "size").unionByName(placed)
+        final = looked_up(moved, chosen, "root", "uid", "size").select("uid", "root", F.when(F.col("split").isNull() | (F.col("split") == F.col("given")), F.col("given")).otherwise(F.lit(QUARANTINE)).alias("split"))
         self.records = ws.write(final, "records")
         return self.records
 

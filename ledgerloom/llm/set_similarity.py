@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators.lookup import looked_up
 from ledgerloom.storage import Workspace
 
 #: The largest sets whose subsets may be enumerated: a set of 12 has at most 924 subsets of one size.
@@ -185,8 +186,8 @@ def similar_between(left: DataFrame, right: DataFrame, uid: str, items: str, thr
 
 def _salted(members: DataFrame, cls: str, uid: str) -> tuple[DataFrame, DataFrame]:
     """Members in parts of about ``EXPAND``, and (class, part) of all parts: no class is expanded in one task."""
-    parts = members.groupBy("cls").agg(F.ceil(F.count("*") / EXPAND).cast("int").alias("parts"))
-    salted = members.select("uid", "cls").join(parts, "cls").select(F.col("cls").alias(cls), F.col("uid").alias(uid), F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias(f"part_{cls}"))
+    parts = members.groupBy("cls").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / EXPAND).cast("int"))
+    salted = looked_up(members.select("uid", "cls"), parts, "cls", "uid", "n").select(F.col("cls").alias(cls), F.col("uid").alias(uid), F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias(f"part_{cls}"))
     return salted, parts.select(F.col("cls").alias(cls), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{cls}"))
 
 

@@ -112,6 +112,32 @@ def test_splits_over_batches(spark):
     assert SplitStore(ws).ingest(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_store_over_sessions(spark, tmp_path):
+    path = f"file://{tmp_path}/splits"
+    pairs = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    store = SplitStore.open(spark, path)
+    store.ingest(pairs([(2 * k, 2 * k + 1) for k in range(40)]), "a", "b")
+    assert store.commit() == 1
+    kept = {x.uid: x.split for x in store.records.collect()}
+    # a session that dies before its commit leaves the store as it was
+    SplitStore.open(spark, path).ingest(pairs([(0, 77)]), "a", "b")
+    (tmp_path / "splits" / "v00000002").mkdir()
+    again = SplitStore.open(spark, path)
+    assert {x.uid: x.split for x in again.records.collect()} == kept
+    # the same pairs once more change nothing; a merge of two splits is quarantined
+    again.ingest(pairs([(2 * k, 2 * k + 1) for k in range(40)]), "a", "b")
+    assert {x.uid: x.split for x in again.records.collect()} == kept
+    other = next(u for u in range(2, 80, 2) if kept[u] != kept[0])
+    again.ingest(pairs([(0, other), (500, 501)]), "a", "b")
+    assert again.commit() == 2
+    third = {x.uid: x for x in SplitStore.open(spark, path).records.collect()}
+    assert third[other].root == 0 and sorted({third[u].split for u in (0, 1, other, other + 1)} - {QUARANTINE}) in ([kept[0]], [kept[other]])
+    assert sum(third[u].split == QUARANTINE for u in (0, 1, other, other + 1)) == 2
+    assert third[500].split == third[501].split and all(third[u].split == kept[u] for u in kept if u not in (0, 1, other, other + 1))
+    with pytest.raises(ValueError):
+        SplitStore(Workspace(spark, "t")).commit()
+
+
 def test_keepers_and_survivors(spark):
     rows = [("g", 1, 5, None, "x"), ("g", 2, 5, "v", "n/a"), ("g", 3, 7, "w", "z"), ("alone", 4, 1, "q", "q"), (None, 5, 0, "q", "q"), ("t", 7, 1, " ", None), ("t", 6, 1, "-", None)]
     df = spark.createDataFrame(rows, "g string, id long, score int, a string, member_count string")
