@@ -1,4 +1,4 @@
-"""Command line: ``python -m ledgerloom.cli --table1 FILE --table2 FILE [--table3-fields FILE] --out FOLDER``."""
+"""Command line: ``python -m ledgerloom.cli --table1 FILE [--table2 FILE] [--table3-fields FILE] --out FOLDER``."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from ledgerloom.pipeline import run_pipeline
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--table1", required=True, help="report metadata export")
-    p.add_argument("--table2", required=True, help="execution log export")
+    p.add_argument("--table2", help="execution log export")
     p.add_argument("--table3-fields", help="data dictionary export")
     p.add_argument("--config", help="JSON or YAML settings")
     p.add_argument("--out", required=True)

@@ -42,13 +42,14 @@ def squeeze(c: Column) -> Column:
 
 def casefold(c: Column) -> Column:
     """Unicode case folding: lower case, then the few characters that fold further."""
-    out = F.lower(c)
+    low = out = F.lower(c)
     single = {k: v for k, v in CASEFOLD_EXTRA.items() if len(v) == 1}
     out = F.translate(out, "".join(single), "".join(single.values()))
     for k, v in CASEFOLD_EXTRA.items():
         if k not in single:
             out = F.replace(out, F.lit(k), F.lit(v))
-    return out
+    # plain ASCII folds by lower case alone
+    return F.when(low.rlike(r"[^\x00-\x7f]"), out).otherwise(low)
 
 
 def name_key(c: Column) -> Column:
@@ -65,6 +66,13 @@ def clean_text(c: Column, tokens: list[str] | None = None) -> Column:
     return let(squeeze(c), lambda s: F.when(~F.lower(s).isin(NULL_TOKENS if tokens is None else tokens), s))
 
 
+def clean_lines(c: Column, tokens: list[str] | None = None) -> Column:
+    """Like ``clean_text``, but line breaks stay: spaces collapse inside each line, blank ends go; null tokens become null."""
+    lines = F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n")
+    tidy = F.array_join(F.transform(lines, lambda x: F.btrim(F.regexp_replace(x, "[ \t]+", " "))), "\n")
+    return let(F.regexp_replace(tidy, "^[\\s]+|[\\s]+$", ""), lambda s: F.when(~F.lower(s).isin(NULL_TOKENS if tokens is None else tokens), s))
+
+
 def field_name(c: Column) -> Column:
     """Normalised field name: lower case, everything but a-z, 0-9 and space is a space, collapsed."""
     return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))

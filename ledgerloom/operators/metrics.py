@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ledgerloom.storage import Workspace
 
 
-def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
+def score_counts(df: DataFrame, score: str, label: str, also: float | None = None) -> DataFrame:
     """Per distinct score: rows, positives, and both summed over all higher scores (descending prefix sums).
 
     Scores are range-partitioned; each partition sums alone and is shifted by the totals of the partitions
-    before it, of which there is one row each.
+    before it, of which there is one row each. ``also`` adds a score that no row may have.
     """
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos"))
+    if also is not None:
+        extra = df.sparkSession.createDataFrame([(float(also), 0, 0)], "s double, n long, pos long")
+        per = per.select(F.col("s").cast("double").alias("s"), "n", "pos").unionByName(extra).groupBy("s").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     parts = per.repartitionByRange(F.col("s").desc()).withColumn("part", F.spark_partition_id())
     inner = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumns({"cn": F.sum("n").over(inner), "cp": F.sum("pos").over(inner)})
@@ -53,3 +56,23 @@ def best_threshold(df: DataFrame, score: str, label: str, floor: float) -> DataF
     scored = c.select("s", (F.col("cum_pos") / F.col("cum_n")).alias("precision"), (2 * F.col("cum_pos") / (F.col("cum_n") + F.lit(total))).alias("f1"))
     best = scored.agg(F.max(F.when(F.col("precision") >= floor, F.struct("f1", "s", "precision"))).alias("b"))
     return best.where("b is not null").select(F.col("b.s").alias("threshold"), F.round("b.f1", 6).alias("f1"), F.round("b.precision", 6).alias("precision"))
+
+
+def choose_threshold(df: DataFrame, score: str, label: str, floor: float, usual: float = 0.5) -> DataFrame:
+    """One row (threshold, criterion): the highest F1 among thresholds that reach a precision, ties to the stricter one.
+
+    Every score and ``usual`` are tried. If none reaches the precision, the highest F1 alone decides ('no floor');
+    without a positive row the threshold is 1 ('no positives'), without rows ``usual`` ('no rows').
+    """
+    if not 0 <= floor <= 1:
+        raise ValueError("a precision lies between 0 and 1")
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(label), F.lit(0))).first()
+    if not n or not total:
+        got = (float(usual), "no rows") if not n else (1.0, "no positives")
+        return df.sparkSession.createDataFrame([got], "threshold double, criterion string")
+    c = score_counts(df, score, label, usual)
+    precision = F.when(F.col("cum_n") > 0, F.col("cum_pos") / F.col("cum_n")).otherwise(F.lit(0.0))
+    scored = c.select("s", precision.alias("precision"), (2 * F.col("cum_pos") / (F.col("cum_n") + F.lit(total))).alias("f1"))
+    best = scored.agg(F.max(F.when(F.col("precision") >= floor, F.struct("f1", "s"))).alias("b"), F.max(F.struct("f1", "s")).alias("w"))
+    return best.select(F.coalesce("b.s", "w.s").alias("threshold"), F.when(F.col("b").isNotNull(), "floor").otherwise("no floor").alias("criterion"))

@@ -18,7 +18,8 @@ from ledgerloom.operators.packed_values import packed_values
 from ledgerloom.operators.similar_names import similar_names
 from ledgerloom.session import ship
 from ledgerloom.sinks import writers
-from ledgerloom.sources.headers import canonical
+from ledgerloom.sources.guards import checked
+from ledgerloom.sources.headers import ALIASES, canonical
 from ledgerloom.sources.sheets import read_sheet
 
 PEOPLE = ["owner", "created_by", "t2_owner"]
@@ -88,14 +89,16 @@ def pairs_by_name(plain: DataFrame, sets: DataFrame, objects: DataFrame, least:
     return met.where(near).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
 
-def run_pipeline(spark: SparkSession, table1: str, table2: str, table3: str | None, out: str, settings: Settings | None = None, run_id: int = 1, zone: str = "UTC", date_order: str = "MDY") -> Results:
+def run_pipeline(spark: SparkSession, table1: str, table2: str | None, table3: str | None, out: str, settings: Settings | None = None, run_id: int = 1, zone: str = "UTC", date_order: str = "MDY") -> Results:
     """Read the exports, analyse them and write every result below ``out``."""
     cfg = settings or Settings()
     if zone and inst._zone(zone) is None:
         raise ValueError(f"unknown zone {zone}")
     ship(spark)
-    fields = canonical(read_sheet(spark, table3), "fields") if table3 else None
-    res = analyse(spark, canonical(read_sheet(spark, table1), "comprehensive"), canonical(read_sheet(spark, table2), "runs"), fields, cfg, zone, date_order)
+    read = lambda path, kind: canonical(checked(read_sheet(spark, path)), kind)
+    # without an execution log every report counts as never run
+    runs = read(table2, "runs") if table2 else spark.createDataFrame([], "row_id long, " + ", ".join(f"{c} string" for c in ALIASES["runs"]))
+    res = analyse(spark, read(table1, "comprehensive"), runs, read(table3, "fields") if table3 else None, cfg, zone, date_order)
     for name, df in res.tabs().items():
         df = writers.masked(df, PEOPLE) if cfg.sensitive else df
         writers.write_run(df, f"{out}/{name.lower().replace(' ', '_')}", run_id, cfg.keep_history)

@@ -205,6 +205,21 @@ def label_threshold(s: SparkSession, d: str) -> DataFrame:
     return metrics.best_threshold(scored_labels(s, d), "sig_field_jaccard", "y", 0.6)
 
 
+def _policy_sql(floor: float) -> str:
+    return f"""WITH x AS (SELECT s / 100 AS s, y FROM {_SCORED_SQL}), t AS (SELECT DISTINCT s FROM x UNION SELECT 0.5), g AS (SELECT s, count(*) AS n, sum(y) AS p FROM x GROUP BY s),
+      c AS (SELECT t.s, coalesce(sum(n), 0) AS cn, coalesce(sum(p), 0) AS cp, (SELECT sum(p) FROM g) AS ap FROM t LEFT JOIN g ON g.s >= t.s GROUP BY t.s),
+      m AS (SELECT s, 2 * cp / (cn + ap) AS f1, CASE WHEN cn > 0 THEN cp / cn ELSE 0 END AS pr FROM c)
+      SELECT {floor} AS floor, arg_max(s, (CASE WHEN pr >= {floor} THEN 1 ELSE 0 END, f1, s)) AS threshold, CASE WHEN max(pr) >= {floor} THEN 'floor' ELSE 'no floor' END AS criterion FROM m"""
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_policy_sql(f)})" for f in (0.6, 0.9, 1.0)))
+def threshold_policy(s: SparkSession, d: str) -> DataFrame:
+    """Chosen threshold of the field similarity for three floors of precision, and whether the floor was reached."""
+    x = scored_labels(s, d).select((F.col("sig_field_jaccard") / 100).alias("s"), "y")
+    parts = [metrics.choose_threshold(x, "s", "y", f).select(F.lit(f).alias("floor"), "threshold", "criterion") for f in (0.6, 0.9, 1.0)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("""SELECT pair_id, coalesce(least(greatest(sig_field_jaccard / 100, 0.0), 1.0), 0.0) AS f_jaccard, CASE WHEN sig_field_jaccard IS NULL THEN 1.0 ELSE 0.0 END AS f_jaccard_missing,
   coalesce(least(greatest(sig_name / 100, 0.0), 1.0), 0.0) AS f_name, CASE WHEN sig_name IS NULL THEN 1.0 ELSE 0.0 END AS f_name_missing FROM labeled_pairs""")
 def feature_vectors(s: SparkSession, d: str) -> DataFrame:
@@ -234,7 +249,7 @@ def member_vs_lead(s: SparkSession, d: str) -> DataFrame:
     return j.select("report_uid", "keeper", "shared", jac.alias("jaccard"), con.alias("containment"), F.array_join(F.array_except("f", "kf"), "; ").alias("only_here"), F.array_join(F.array_except("kf", "f"), "; ").alias("only_keeper"))
 
 
-@query(f"""WITH r AS (SELECT report_uid, {sql.field_list('report_fields')} AS f FROM {sql.CURRENT}), i AS (SELECT report_uid AS u, unnest(f) AS k FROM r), b AS (SELECT * FROM i WHERE k IN (SELECT k FROM i GROUP BY k HAVING count(*) BETWEEN 2 AND 400)),
+@query(f"""WITH r AS (SELECT report_uid, {sql.field_list('report_fields')} AS f FROM {sql.CURRENT}), i AS (SELECT report_uid AS u, unnest(f) AS k FROM r), b AS (SELECT * FROM i WHERE k IN (SELECT k FROM i GROUP BY k HAVING count(*) > 1)),
   p AS (SELECT DISTINCT x.u AS a, y.u AS b FROM b x JOIN b y ON x.k = y.k AND x.u < y.u), o AS (SELECT a, b, len(list_intersect(ra.f, rb.f)) AS n, len(ra.f) AS na, len(rb.f) AS nb FROM p JOIN r ra ON a = ra.report_uid JOIN r rb ON b = rb.report_uid),
   e AS (SELECT a, b, round_even(100.0 * n / (na + nb - n), 1) AS j, round_even(100.0 * n / least(na, nb), 1) AS c FROM o), d AS (SELECT a AS u, j, c FROM e WHERE j >= 50 OR c >= 80 UNION ALL SELECT b, j, c FROM e WHERE j >= 50 OR c >= 80)
   SELECT u AS report_uid, count(*) AS n_links, max(j) AS best_jaccard, max(c) AS best_containment FROM d GROUP BY u""")

@@ -60,6 +60,12 @@ def check_table(df: DataFrame, limits: Limits = Limits()) -> None:
         raise RejectedFile(f"more than {limits.rows} rows")
 
 
+def checked(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``df``, once it has passed ``check_table``."""
+    check_table(df, limits)
+    return df
+
+
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of every file below a path."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -60,6 +60,10 @@ def test_guards(spark):
 def test_headers():
     m = headers.match_headers(["-", "Report Name", "Owner (full)", "LAST_RUN-date"], headers.ALIASES["comprehensive"])
     assert m == {"report_name": "Report Name", "last_run_date": "LAST_RUN-date", "owner": "Owner (full)"}
+    # the preferred spelling counts, not the first header
+    assert headers.match_headers(["Report Name", "Custom Report"], headers.ALIASES["comprehensive"])["report_name"] == "Custom Report"
+    assert headers.match_headers(["Used In", "Where_Used"], headers.ALIASES["fields"])["t3_where_used"] == "Where_Used"
+    assert headers.match_headers(["Worklet Landing Pages", "Landing Page"], headers.ALIASES["comprehensive"]) == {"landing_page": "Worklet Landing Pages", "report_landing_page": "Landing Page"}
 
 
 def test_sqlite(spark, tmp_path):
@@ -94,6 +98,15 @@ def test_pipeline(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "all_reports")).where("owner = '***'").count() == 2
 
 
+def test_pipeline_without_executions_and_with_too_many_columns(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("Report Name,Number of Times Executed,Last Run Date,Owner\nHeadcount Summary,3,2026-01-01,Ann\nPayroll List,,,\n")
+    out = run_pipeline(spark, str(tmp_path / "1.csv"), None, None, str(tmp_path / "out"))
+    assert {r.report_uid: r.run_count for r in out.reports.collect()} == {0: 0, 1: 0}
+    (tmp_path / "wide.csv").write_text(",".join(f"c{k}" for k in range(1100)) + "\n" + ",".join("x" * 1100) + "\n")
+    with pytest.raises(guards.RejectedFile):
+        run_pipeline(spark, str(tmp_path / "wide.csv"), None, None, str(tmp_path / "out2"))
+
+
 def test_pipeline_compares_names_in_blocks_above_400(spark):
     one = [(k, f"Staff {w} Overview") for k, w in enumerate(f"{a}{b}" for a in "bcdfghjklmnpqrstvwxz" for b in "bcdfghjklmnpqrstvwxyz")] + [(900, "Staff Headcount Listing"), (901, "Staff Headcount Listings")]
     reports = spark.createDataFrame(one, "row_id long, report_name string").selectExpr("*", "'1' AS times_run", "'' AS last_run_date", "'' AS shared", "'' AS owner", "'' AS created_by")

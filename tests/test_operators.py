@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.similarity import token_sort_ratio
+from ledgerloom.operators.lookup import looked_up
 from ledgerloom.operators import blocking, bursts, metrics, ordering, pair_model, rollups
 from ledgerloom.operators.components import components
 from ledgerloom.operators.similar_names import similar_names
@@ -154,3 +155,24 @@ def test_looked_up_with_hot_keys(spark):
     small = spark.createDataFrame([(1, "hot", 200), (3, "c", 1), (6, None, 1)], "key long, v string, n long")
     got = {r.u: r.v for r in looked_up(big, small, "key", "u", "n", limit=50, salts=4).collect()}
     assert got == {k: "hot" if k % 3 else "c" if k == 3 else None for k in range(300)}
+
+
+def test_choose_threshold(spark):
+    from ledgerloom.operators.metrics import choose_threshold
+
+    def pick(rows, floor):
+        return tuple(choose_threshold(spark.createDataFrame(rows, "s double, y int"), "s", "y", floor).first())
+
+    assert pick([], 0.9) == (0.5, "no rows") and pick([(0.2, 0), (None, 1)], 0.9) == (1.0, "no positives")
+    assert pick([(0.9, 1), (0.8, 1), (0.4, 0)], 0.9) == (0.8, "floor")
+    assert pick([(0.9, 0), (0.4, 1), (0.4, 0)], 0.9) == (0.4, "no floor")
+    assert pick([(0.9, 1), (0.2, 0)], 0.9)[0] == 0.9
+    with pytest.raises(ValueError):
+        pick([], 2)
+
+
+def test_clean_lines(spark):
+    from ledgerloom.functions.names import clean_lines
+
+    df = spark.createDataFrame([(" a \t b \r\nc\rd  ",), ("n/a",), (None,), ("\n\n",)], "t string")
+    assert [r[0] for r in df.select(clean_lines(F.col("t"))).collect()] == ["a b\nc\nd", None, None, None]
