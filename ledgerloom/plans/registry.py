@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import core_data, portfolio
+from ledgerloom.plans import core_data, pair_queries, portfolio
 
-QUERIES = core_data.QUERIES | portfolio.QUERIES
-ORACLES: dict[str, str] = dict(portfolio.ORACLES)
+QUERIES = core_data.QUERIES | portfolio.QUERIES | pair_queries.QUERIES
+ORACLES: dict[str, str] = portfolio.ORACLES | pair_queries.ORACLES
