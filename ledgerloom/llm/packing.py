@@ -137,14 +137,14 @@ def plan(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, int, int,
     return out
 
 
-_PLACED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("container", T.LongType()), T.StructField("place", T.IntegerType())])
+_PLACED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("first_token", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("container", T.LongType()), T.StructField("place", T.IntegerType())])
 
 
 def pack(sized: DataFrame, doc_id: str, n_tokens: str, capacity: int) -> DataFrame:
-    """(doc_id, piece, n_tokens, container, place) of every text; ``doc_id`` is unique.
+    """(doc_id, piece, first_token, n_tokens, container, place) of every text; ``doc_id`` is unique.
 
     A text of more than ``capacity`` tokens has pieces 0, 1, ... of which all but the last fill a container;
-    any other is piece 0, whole. Texts without tokens have one piece of 0 tokens and no container. Containers
+    any other is piece 0, whole. A piece holds the tokens from ``first_token`` (counted from 0) on. Texts without tokens have one piece of 0 tokens and no container. Containers
     count from 0 without gaps; the full containers of cut texts come after those of the plan.
     """
     spark = sized.sparkSession
@@ -162,7 +162,7 @@ def pack(sized: DataFrame, doc_id: str, n_tokens: str, capacity: int) -> DataFra
         for b in batches:
             r = np.searchsorted(key, (b["size"].to_numpy(np.int64) << 44) + b["_rank"].to_numpy(np.int64), side="right") - 1
             at = b["_rank"].to_numpy(np.int64) - t[r, 1]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "piece": b["cuts"].astype("int32"), "n_tokens": b["size"].astype("int32"), "container": t[r, 3] + at // t[r, 4], "place": (t[r, 5] + at % t[r, 4]).astype("int32")})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "piece": b["cuts"].astype("int32"), "first_token": b["cuts"].astype("int64") * capacity, "n_tokens": b["size"].astype("int32"), "container": t[r, 3] + at // t[r, 4], "place": (t[r, 5] + at % t[r, 4]).astype("int32")})
 
     rest = ranked_within(parts.where("size > 0"), "size", "doc_id").select("doc_id", "size", "cuts", "_rank").mapInPandas(assign, _PLACED)
     # full pieces: the texts that are cut are numbered in parts of a hash, then given as many containers as pieces
@@ -170,6 +170,6 @@ def pack(sized: DataFrame, doc_id: str, n_tokens: str, capacity: int) -> DataFra
     total = cut.groupBy("one").agg(F.sum("cuts").alias("c"))
     before = total.select("one", (F.sum("c").over(Window.orderBy("one")) - F.col("c")).alias("b"))
     inner = cut.withColumn("i", F.sum("cuts").over(Window.partitionBy("one").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("cuts")).join(before, "one")
-    whole = inner.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("piece"), (F.lit(n_bins) + F.col("b") + F.col("i")).alias("s")).select("doc_id", F.col("piece").cast("int").alias("piece"), F.lit(capacity).alias("n_tokens"), (F.col("s") + F.col("piece")).alias("container"), F.lit(0).alias("place"))
-    none = parts.where("n = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).alias("n_tokens"), F.lit(None).cast("long").alias("container"), F.lit(None).cast("int").alias("place"))
+    whole = inner.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("piece"), (F.lit(n_bins) + F.col("b") + F.col("i")).alias("s")).select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece").cast("long") * capacity).alias("first_token"), F.lit(capacity).alias("n_tokens"), (F.col("s") + F.col("piece")).alias("container"), F.lit(0).alias("place"))
+    none = parts.where("n = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), F.lit(0).alias("n_tokens"), F.lit(None).cast("long").alias("container"), F.lit(None).cast("int").alias("place"))
     return rest.unionByName(whole).unionByName(none)
