@@ -26,12 +26,12 @@ def _utc_micros(text: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series
 
 
 @pandas_udf(T.LongType())
-def _local_micros(text: pd.Series) -> pd.Series:
-    def one(t):
-        got = _inst.parse(t, None)
+def _local_micros(text: pd.Series, order: pd.Series) -> pd.Series:
+    def one(t, o):
+        got = _inst.parse(t, o)
         return got[1] if got is not None and got[0] == "local" and got[2] is None else None
 
-    return pd.Series([one(t) for t in text.tolist()], dtype="Int64")
+    return pd.Series([one(t, o) for t, o in zip(text.tolist(), order.tolist())], dtype="Int64")
 
 
 def utc_micros(text: Column | str, zone: Column | str, order: Column | str) -> Column:
@@ -44,21 +44,23 @@ def utc_micros(text: Column | str, zone: Column | str, order: Column | str) -> C
 
 
 def estimate_zones(rows: DataFrame, candidates: list[str], site: str = "site_code", text: str = "text", seen: str = "loaded_at") -> DataFrame:
-    """Most likely zone of each site from its zone-less texts and their ingestion times (UTC).
+    """Most likely zone and order of all-numeric dates of each site from its zone-less texts and their ingestion times (UTC).
 
-    ``candidates`` is a short, fixed list. One pass: per site and candidate, the rows that would lie after
-    their ingestion and the mean lag are aggregated; no row leaves its partition before the partial sums.
-    Sites without a usable row are absent. Columns: site_code, zone_name, n_rows, violations, lag_hours.
+    ``candidates`` is a short, fixed list. One pass: per site, zone and order, the rows that would be no date or lie
+    after their ingestion (violations) and the mean lag are aggregated; no row leaves its partition before the partial
+    sums. Sites without a usable row are absent. Columns: site_code, zone_name, date_order, n_rows, violations, lag_hours.
     """
-    local = rows.select(F.col(site).alias("site_code"), _local_micros(F.col(text)).alias("l"), F.unix_micros(F.col(seen).cast("timestamp")).alias("seen")).where("site_code is not null and l is not null and seen is not null")
-    aggs = [F.count("*").alias("n_rows")]
-    for i, z in enumerate(candidates):
-        lag = F.col("seen") - F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("l"), z))
-        aggs += [F.count_if(lag < 0).alias(f"v{i}"), F.avg(F.when(lag >= 0, lag)).alias(f"g{i}")]
-    wide = local.groupBy("site_code").agg(*aggs)
-    scored = F.array(*[F.struct(F.col(f"v{i}").alias("violations"), F.col(f"g{i}").alias("lag"), F.lit(z).alias("zone")) for i, z in enumerate(candidates)])
-    best = wide.select("site_code", "n_rows", F.array_min(scored).alias("b"))
-    return best.select("site_code", F.col("b.zone").alias("zone_name"), "n_rows", F.col("b.violations").alias("violations"), F.round(F.col("b.lag") / 3.6e9, 3).alias("lag_hours"))
+    orders = ["DMY", "MDY"]
+    read = [_local_micros(F.col(text), F.lit(o)).alias(f"l{k}") for k, o in enumerate(orders)]
+    local = rows.select(F.col(site).alias("site_code"), *read, F.unix_micros(F.col(seen).cast("timestamp")).alias("seen")).where("site_code is not null and coalesce(l0, l1) is not null and seen is not null")
+    aggs, tried = [F.count("*").alias("n_rows")], []
+    for k, o in enumerate(orders):
+        for i, z in enumerate(candidates):
+            lag = F.col("seen") - F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(f"l{k}"), z))
+            aggs += [F.count_if(F.coalesce(lag < 0, F.lit(True))).alias(f"v{k}_{i}"), F.avg(F.when(lag >= 0, lag)).alias(f"g{k}_{i}")]
+            tried.append(F.struct(F.col(f"v{k}_{i}").alias("violations"), F.coalesce(f"g{k}_{i}", F.lit(float("inf"))).alias("lag"), F.lit(z).alias("zone"), F.lit(o).alias("order")))
+    best = local.groupBy("site_code").agg(*aggs).select("site_code", "n_rows", F.array_min(F.array(*tried)).alias("b"))
+    return best.select("site_code", F.col("b.zone").alias("zone_name"), F.col("b.order").alias("date_order"), "n_rows", F.col("b.violations").alias("violations"), F.round(F.col("b.lag") / 3.6e9, 3).alias("lag_hours"))
 
 
 def complete_zones(site_zones: DataFrame, rows: DataFrame, text: str, seen: str = "loaded_at") -> DataFrame:
@@ -78,7 +80,7 @@ def complete_zones(site_zones: DataFrame, rows: DataFrame, text: str, seen: str
     if len(names) > 10_000:
         raise ValueError("more than 10,000 candidate zones")
     guess = estimate_zones(rows.join(lacking, "site_code", "left_semi"), names, text=text, seen=seen)
-    return known.unionByName(guess.select("site_code", "zone_name", F.lit(None).cast("string").alias("date_order")))
+    return known.unionByName(guess.select("site_code", "zone_name", "date_order"))
 
 
 def with_utc(df: DataFrame, site_zones: DataFrame, text: str, site: str = "site_code", out: str = "utc_micros") -> DataFrame:

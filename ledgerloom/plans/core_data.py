@@ -33,11 +33,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
-    """Zone of every site as the estimator finds it without looking at the site's own entry."""
-    rows = table(spark, d, "runs").select("site_code", "t2_start_date", "loaded_at")
+    """Zone and date order of every site as the estimator finds it without looking at the site's own entry."""
+    runs = table(spark, d, "runs").select("site_code", F.col("t2_start_date").alias("text"), "loaded_at")
+    rows = runs.unionByName(table(spark, d, "comprehensive").select("site_code", F.col("last_run_date").alias("text"), "loaded_at"))
     zones = table(spark, d, "site_zones")
     names = sorted(r[0] for r in zones.select("zone_name").where("zone_name is not null").distinct().limit(10_001).collect())
-    return instants.estimate_zones(rows, names, text="t2_start_date")
+    return instants.estimate_zones(rows, names)
 
 
 QUERIES = {"p3_found": p3_found, "p3_where_used_counts": p3_where_used_counts, "p7_found": p7_found, "p7_zone_estimates": p7_zone_estimates}
