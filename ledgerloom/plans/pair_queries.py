@@ -129,7 +129,7 @@ def pair_signals(s: SparkSession, d: str) -> DataFrame:
     return labelled(s, d).select("pair_id", *[F.round(c, 6).alias(k) for k, c in pair_similarity.raw_signals(F.col("ratio")).items()])
 
 
-@query(f"{_SIGNALS_SQL} SELECT pair_id, {', '.join(f'round(coalesce(least(greatest({k} / 100, 0.0), 1.0), 0.0), 8) AS v_{k}, CASE WHEN {k} IS NULL THEN 1.0 ELSE 0.0 END AS m_{k}' for k in _BY_SIGNAL)} FROM s")
+@query(f"{_SIGNALS_SQL} SELECT pair_id, {', '.join(f'round(coalesce(least(greatest({k} / 100, 0.0), 1.0), 0.0), 8) AS v_{k}, CAST(CASE WHEN {k} IS NULL THEN 1 ELSE 0 END AS DOUBLE) AS m_{k}' for k in _BY_SIGNAL)} FROM s")
 def pair_vectors(s: SparkSession, d: str) -> DataFrame:
     """The eighteen model features of every labelled pair."""
     p = labelled(s, d).select("pair_id", pair_similarity.feature_vector(pair_similarity.raw_signals(F.col("ratio"))).alias("v"))

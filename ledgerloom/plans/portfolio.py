@@ -206,10 +206,10 @@ def label_threshold(s: SparkSession, d: str) -> DataFrame:
 
 
 def _policy_sql(floor: float) -> str:
-    return f"""WITH x AS (SELECT s / 100 AS s, y FROM {_SCORED_SQL}), t AS (SELECT DISTINCT s FROM x UNION SELECT 0.5), g AS (SELECT s, count(*) AS n, sum(y) AS p FROM x GROUP BY s),
+    return f"""WITH x AS (SELECT s / 100 AS s, y FROM {_SCORED_SQL}), t AS (SELECT DISTINCT s FROM x UNION SELECT CAST(0.5 AS DOUBLE)), g AS (SELECT s, count(*) AS n, sum(y) AS p FROM x GROUP BY s),
       c AS (SELECT t.s, coalesce(sum(n), 0) AS cn, coalesce(sum(p), 0) AS cp, (SELECT sum(p) FROM g) AS ap FROM t LEFT JOIN g ON g.s >= t.s GROUP BY t.s),
       m AS (SELECT s, 2 * cp / (cn + ap) AS f1, CASE WHEN cn > 0 THEN cp / cn ELSE 0 END AS pr FROM c)
-      SELECT {floor} AS floor, arg_max(s, (CASE WHEN pr >= {floor} THEN 1 ELSE 0 END, f1, s)) AS threshold, CASE WHEN max(pr) >= {floor} THEN 'floor' ELSE 'no floor' END AS criterion FROM m"""
+      SELECT CAST({floor} AS DOUBLE) AS floor, arg_max(s, (CASE WHEN pr >= {floor} THEN 1 ELSE 0 END, f1, s)) AS threshold, CASE WHEN max(pr) >= {floor} THEN 'floor' ELSE 'no floor' END AS criterion FROM m"""
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({_policy_sql(f)})" for f in (0.6, 0.9, 1.0)))
